@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,25 +39,34 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose text is about `most` bytes; a longer text stands alone."""
-    sizes = np.asarray(batch.column(column).cast(pa.binary()).fill_null(b"").to_numpy(zero_copy_only=False), dtype=object)
+def steps(texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose text is about `most` bytes; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start, held = 0, 0
-    for i, value in enumerate(sizes):
-        if held and held + len(value) > most:
-            yield batch.slice(start, i - start)
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield start, i
             start, held = i, 0
-        held += len(value)
-    if start < batch.num_rows:
-        yield batch.slice(start)
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts by steps() over a column."""
+    for a, b in steps(batch.column(column), most):
+        yield batch.slice(a, b - a)
 
 
 def packed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' bytes in one uint8 array, and the bounds of each (one more than there are texts). Null: empty."""
-    values = [v or b"" for v in texts.cast(pa.binary()).to_pylist()]
-    bounds = np.zeros(len(values) + 1, np.int64)
-    np.cumsum([len(v) for v in values], out=bounds[1:])
-    return np.frombuffer(b"".join(values), np.uint8), bounds
+    texts = texts.cast(pa.binary())
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,17 +91,17 @@ FACTOR = np.uint64(0xD6E8FEB86659FD93)
 
 def ngram_hash(codes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n codes from each place, by doubling: the hash of a long run comes from those of its halves."""
-    done, factor, h = 1, FACTOR, codes
-    parts: list[tuple[int, np.ndarray, np.uint64]] = [(1, h, factor)]
+    done, factor, h = 1, int(FACTOR), codes
+    parts: list[tuple[int, np.ndarray, int]] = [(1, h, factor)]
     while done * 2 <= n:
-        h = h[:-done] * factor + h[done:]
-        factor = factor * factor
+        h = h[:-done] * np.uint64(factor) + h[done:]
+        factor = factor * factor % (1 << 64)
         done *= 2
         parts.append((done, h, factor))
     out, have = h, done
     for size, part, f in reversed(parts[:-1]):
         if have + size <= n:
-            out = out[: len(part) - have] * f + part[have:]
+            out = out[: len(part) - have] * np.uint64(f) + part[have:]
             have += size
     return out[: max(0, len(codes) - n + 1)]
 

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import chat, media, minhash, quality_rules
+from attesta.llm import chat, media, minhash, quality_rules, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("removed", "kept")
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), keep_pairs=False).drop("peak_times", "peak_codes")
 
@@ -33,7 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media, op5_chat, op6_minhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_suffix_array, op2_media, op5_chat, op6_minhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
