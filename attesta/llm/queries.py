@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import chat, media, minhash, quality_rules, suffix
+from attesta.llm import chat, language, media, minhash, ordinal, quality_rules, suffix
+from attesta.llm.common import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), keep_pairs=False).drop("peak_times", "peak_codes")
 
 
+def op4_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ratings = ordinal.graded(table(spark, sf_dir, "labels")).filter(crc_mod("doc_id", 4) != 2)
+    return ordinal.grade(docs, ordinal.learn_grades(docs, ratings)).withColumn("held_out", crc_mod("doc_id", 4) == 2)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -32,12 +39,17 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn_languages(docs)).withColumn("held_out", crc_mod("doc_id", 5) == 0)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("host")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array, op2_media, op5_chat, op6_minhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_suffix_array, op2_media, op4_ordinal, op5_chat, op6_minhash, op9_language, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
