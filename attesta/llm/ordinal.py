@@ -21,7 +21,7 @@ STYLE_BITS = 10
 SAMPLE = 1500
 EPOCHS, BATCH, RATE = 8, 32, 0.5
 #: A text is kept if its probability of a grade of 1 or more reaches this.
-KEEP = 0.3
+KEEP = 0.5
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>!"))
 CAPITALS = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 DIGITS = (np.arange(256) >= 48) & (np.arange(256) <= 57)
@@ -37,11 +37,14 @@ class OrdinalModel:
 
 
 def style_tokens(text: bytes) -> list[int]:
-    """Hashed tokens for how well a text compresses and its shares of symbols, capitals, digits and breaks, each by its bin."""
+    """Hashed tokens for how well a text compresses, its shares of words equal to the one before, of symbols, capitals, digits and
+    breaks, each by its bin."""
     data = np.frombuffer(text, np.uint8)
     n = max(1, len(data))
     packed_size = sum(len(zlib.compress(text[i : i + (1 << 20)], 1)) for i in range(0, len(text), 1 << 20))
-    shares = [packed_size / (n + 60), *(float(m[data].sum()) / n for m in (SYMBOLS, CAPITALS, DIGITS, BREAKS))]
+    words = text.split()
+    again = sum(map(bytes.__eq__, words, words[1:])) / max(1, len(words))
+    shares = [packed_size / (n + 60), again, *(float(m[data].sum()) / n for m in (SYMBOLS, CAPITALS, DIGITS, BREAKS))]
     tokens = [b"%d:%d" % (k, min(24, int(s * 40))) for k, s in enumerate(shares)] + [b"size:%d" % int(np.log2(n))]
     return [zlib.crc32(t) % (1 << STYLE_BITS) for t in tokens]
 

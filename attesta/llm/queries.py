@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import chat, language, media, minhash, ordinal, quality_rules, suffix
+from attesta.llm import chat, language, media, minhash, ordinal, quality_rules, suffix, toxicity
 from attesta.llm.common import crc_mod
 
 
@@ -39,6 +39,13 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 4) != 2)
+    scored = toxicity.toxicity(docs, toxicity.learn_toxicity(docs, labels))
+    return scored.withColumn("held_out", crc_mod("doc_id", 4) == 2)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.learn_languages(docs)).withColumn("held_out", crc_mod("doc_id", 5) == 0)
@@ -49,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array, op2_media, op4_ordinal, op5_chat, op6_minhash, op9_language, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_suffix_array, op2_media, op4_ordinal, op5_chat, op6_minhash, op7_toxicity, op9_language, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
