@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import chat, language, media, minhash, ordinal, quality_rules, suffix, toxicity
+from attesta.llm import byte_bpe, chat, language, media, minhash, ordinal, quality_rules, suffix, toxicity
 from attesta.llm.common import crc_mod
 
 
@@ -46,6 +47,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", crc_mod("doc_id", 4) == 2)
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.learn_languages(docs)).withColumn("held_out", crc_mod("doc_id", 5) == 0)
@@ -56,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array, op2_media, op4_ordinal, op5_chat, op6_minhash, op7_toxicity, op9_language, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_suffix_array, op2_media, op4_ordinal, op5_chat, op6_minhash, op7_toxicity, op8_byte_bpe, op9_language, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
