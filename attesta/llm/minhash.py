@@ -14,18 +14,25 @@ from attesta.llm.common import LOWER, durable, mix, packed, slices, word_bounds,
 from attesta.llm.components import components
 
 SLOTS = 256
-#: Slots in which two signatures may differ. At a similarity of 0.85 the count has mean 38.4 and deviation 5.7.
-SLOT_ERRORS = 61
-#: Errors that a chunk may hold; pigeonhole then needs (SLOT_ERRORS + 1) / (CHUNK_ERRORS + 1) chunks.
+#: Errors that a chunk may hold; pigeonhole then needs (errors of a signature + 1) / (CHUNK_ERRORS + 1) chunks.
 CHUNK_ERRORS = 0
-#: Bits of the one-bit sketch (one for each slot) in which two texts may differ; the mean is 19.2, the deviation 4.2.
-SKETCH_ERRORS = 40
 #: Members that one tile of exact checks holds on each side.
 TILE = 1024
 _RANDOM = mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).astype(np.uint32)
 FLIP, TURN = _RANDOM[:SLOTS, None], _RANDOM[SLOTS:, None] | np.uint32(1)
 
 
+def error_bounds(percent: int) -> tuple[int, int]:
+    """Slots, and bits of the one-bit sketch, in which two texts of that similarity may differ: the mean and four or five deviations.
+
+    At 85 per cent, signatures differ in 38.4 of 256 slots in the mean and may in 61; sketches in 19.2 bits and may in 40.
+    """
+    p = 1 - percent / 100
+    slots = SLOTS * p + 4 * np.sqrt(SLOTS * p * (1 - p))
+    bits = SLOTS * p / 2 + 5 * np.sqrt(SLOTS * p / 2 * (1 - p / 2))
+    return int(slots), int(bits)
+
+
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's word shingles; with fewer words than `width`, of the whole sequence."""
     data, bounds = packed(texts)
@@ -89,18 +96,18 @@ def full_sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
     return docs.selectExpr(f"cast({key} as long) k", f"{text} t").mapInArrow(run, "doc_id long, members binary")
 
 
-def chunk_bounds() -> list[tuple[int, int]]:
-    n = -(-(SLOT_ERRORS + 1) // (CHUNK_ERRORS + 1))
+def chunk_bounds(errors: int) -> list[tuple[int, int]]:
+    n = -(-(errors + 1) // (CHUNK_ERRORS + 1))
     cuts = [SLOTS * i // n for i in range(n + 1)]
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def chunk_variants(sig: np.ndarray) -> np.ndarray:
+def chunk_variants(sig: np.ndarray, errors: int) -> np.ndarray:
     """Document by key: for each chunk of the signatures, its value with each choice of CHUNK_ERRORS slots left out."""
     from itertools import combinations
 
     out = []
-    for c, (a, b) in enumerate(chunk_bounds()):
+    for c, (a, b) in enumerate(chunk_bounds(errors)):
         for v, left in enumerate(combinations(range(a, b), CHUNK_ERRORS)):
             h = np.full(len(sig), (c << 20) + v + 1, np.uint64)
             for s in range(a, b):
@@ -110,7 +117,7 @@ def chunk_variants(sig: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def index_keys(reps: DataFrame) -> DataFrame:
+def index_keys(reps: DataFrame, errors: int) -> DataFrame:
     """key, rep: one row for each chunk variant of each class representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +125,7 @@ def index_keys(reps: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
-                keys = chunk_variants(sig)
+                keys = chunk_variants(sig, errors)
                 rep = np.repeat(part.column("rep").to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
 
@@ -129,7 +136,7 @@ def sketch(sig: bytes) -> bytes:
     return np.packbits(np.frombuffer(sig, np.uint16) & 1).tobytes()
 
 
-def near_edges(rows: DataFrame) -> DataFrame:
+def near_edges(rows: DataFrame, percent: int, errors: int) -> DataFrame:
     """Edges (a, b) that connect, within each key, the members whose sketches are near: a spanning forest for each key.
 
     rows: key, rep, n, sketch, all rows of a key in one partition and sorted. Pairs are compared in blocks inside the task, and
@@ -144,12 +151,12 @@ def near_edges(rows: DataFrame) -> DataFrame:
                 if (label == label[0]).all():
                     return
                 continue
-            fits = 100 * np.minimum(n[rest], n[i]) >= 85 * np.maximum(n[rest], n[i])
+            fits = 100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])
             rest = rest[fits]
             for j in range(0, len(rest), 65536):
                 some = rest[j : j + 65536]
                 far = np.bitwise_count(bits[some] ^ bits[i]).sum(1)
-                for x in some[far <= SKETCH_ERRORS]:
+                for x in some[far <= errors]:
                     if label[x] != label[i]:
                         yield int(rep[i]), int(rep[x])
                         label[label == label[x]] = label[i]
@@ -163,7 +170,7 @@ def near_edges(rows: DataFrame) -> DataFrame:
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
             sizes = np.diff(cuts)
             pairs = cuts[:-1][sizes == 2]
-            near = (100 * np.minimum(n[pairs], n[pairs + 1]) >= 85 * np.maximum(n[pairs], n[pairs + 1])) & (np.bitwise_count(bits[pairs] ^ bits[pairs + 1]).sum(1) <= SKETCH_ERRORS)
+            near = (100 * np.minimum(n[pairs], n[pairs + 1]) >= percent * np.maximum(n[pairs], n[pairs + 1])) & (np.bitwise_count(bits[pairs] ^ bits[pairs + 1]).sum(1) <= errors)
             a, b = list(rep[pairs[near]]), list(rep[pairs[near] + 1])
             for i in np.flatnonzero(sizes > 2):
                 lo, hi = cuts[i], cuts[i + 1]
@@ -231,25 +238,24 @@ def exact_links(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per document.
 
     Documents link if 100 * |A & B| >= percent * |A | B| on their sets of `width`-word shingles; component_id is the smallest
     doc_id reachable. Texts without a word, null texts included, have an empty set and link with nothing. Equal sets are one class, so
     groups of copies of any size cost one signature. Of the classes, signatures of 256 b-bit slots are split into chunks;
-    by pigeonhole, any two that differ in at most SLOT_ERRORS slots share a chunk variant. `percent` must be 85 or more for
-    that bound to find all pairs. Repeated doc_ids give repeated rows. Other columns are dropped.
+    by pigeonhole, any two that differ in at most error_bounds() slots share a chunk variant. Null ids are no class's representative:
+    such a row belongs to the class of its set, if others have it, or stays. Repeated doc_ids give repeated rows. Other columns are dropped.
     """
-    if percent < 85:
-        raise ValueError("the signature threshold is set for a similarity of 0.85 or more")
+    slot_errors, sketch_errors = error_bounds(percent)
     signed = durable(signatures(docs, width, text, key))
-    full = signed.filter("n_shingles > 0")
+    full = signed.filter("n_shingles > 0 and doc_id is not null")
     reps = durable(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
-    keys = index_keys(reps)
+    keys = index_keys(reps, slot_errors)
     shared = durable(keys.withColumn("c", F.count("*").over(Window.partitionBy("key"))).filter("c > 1").select("key", "rep"))
     to_sketch = reps.mapInArrow(_sketches, "rep long, n long, sketch binary")
     rows = shared.join(to_sketch, "rep").select("key", "rep", "n", "sketch").repartition("key").sortWithinPartitions("key", "rep")
-    families = components(near_edges(rows).distinct())
+    families = components(near_edges(rows, percent, sketch_errors).distinct())
     families = durable(families.withColumnRenamed("node", "rep").withColumnRenamed("component", "family"))
     sizes = families.groupBy("family").count().withColumn("blocks", F.ceil(F.col("count") / TILE))
     members = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
@@ -262,7 +268,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     linked = components(exact_links(tiles, percent)).withColumnRenamed("node", "rep")
     classes = reps.select("set_key", "rep").join(linked, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,8 +101,8 @@ def train(rows: list[tuple[bytes, int]], seed: int = 5) -> OrdinalModel | None:
     return OrdinalModel(grades, weight, extra, np.cumsum(np.r_[gaps[0], np.exp(gaps[1:])]))
 
 
-def grade(docs: DataFrame, model: OrdinalModel | None, text: str = "text", key: str = "doc_id", keep: float = KEEP) -> DataFrame:
-    """doc_id, expected_grade, tail (probability of a grade above the lowest) and kept, a row per row.
+def grade(docs: DataFrame, model: OrdinalModel | None, text: str = "text", key: str = "doc_id", keep: float = KEEP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, expected_grade, tail (probability of a grade above the lowest), the columns in `carry` and kept, a row per row.
 
     Whole texts count; null and empty texts have no n-grams and are judged by style and thresholds. Without a model (fewer than
     two grades to learn from) everything is kept with null grades. Other columns are dropped.
@@ -111,8 +111,9 @@ def grade(docs: DataFrame, model: OrdinalModel | None, text: str = "text", key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t"):
+                others = batch.columns[2:]
                 if model is None:
-                    yield pa.RecordBatch.from_arrays([batch.column("k"), *[pa.nulls(batch.num_rows, pa.float64())] * 2], names=["doc_id", "expected_grade", "tail"])
+                    yield pa.RecordBatch.from_arrays([batch.column("k"), *[pa.nulls(batch.num_rows, pa.float64())] * 2, *others], names=names)
                     continue
                 data, bounds = packed(batch.column("t"))
                 total, count = hashed.sums(data, bounds, model.weights[:, None], SIZES)
@@ -120,9 +121,12 @@ def grade(docs: DataFrame, model: OrdinalModel | None, text: str = "text", key:
                 f = total[:, 0] / np.maximum(1, count) + np.array(extra)
                 above = 1 - sigmoid(model.thresholds[None, :] - f[:, None])
                 steps = np.diff(np.array(model.grades, float))
-                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(model.grades[0] + above @ steps), pa.array(above[:, 0])], names=["doc_id", "expected_grade", "tail"])
+                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(model.grades[0] + above @ steps), pa.array(above[:, 0]), *others], names=names)
 
-    found = docs.selectExpr(f"cast({key} as long) k", f"{text} t").mapInArrow(run, "doc_id long, expected_grade double, tail double")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    names = ["doc_id", "expected_grade", "tail", *carry]
+    kinds = ["long", "double", "double", *(docs.schema[c].dataType.simpleString() for c in carry)]
+    found = rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
     return found.withColumn("kept", F.coalesce(F.col("tail") >= keep, F.lit(True)))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import byte_bpe, chat, language, media, minhash, ordinal, quality_rules, suffix, toxicity
+from attesta.llm import byte_bpe, chat, language, media, minhash, ordinal, packing, quality_rules, suffix, toxicity
 from attesta.llm.common import crc_mod
 
 
@@ -16,13 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("removed", "kept")
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("removed", "kept", "kept_text")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"), keep_pairs=False).drop("peak_times", "peak_codes")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ratings = ordinal.graded(table(spark, sf_dir, "labels")).filter(crc_mod("doc_id", 4) != 2)
@@ -62,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array, op2_media, op4_ordinal, op5_chat, op6_minhash, op7_toxicity, op8_byte_bpe, op9_language, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_suffix_array, op2_media, op3_packing, op4_ordinal, op5_chat, op6_minhash, op7_toxicity, op8_byte_bpe, op9_language, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

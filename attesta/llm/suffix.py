@@ -38,6 +38,7 @@ FINER = 8
 #: Bytes kept of a window hash, a stretch hash, a document id and a place.
 WINDOW_BYTES, STRETCH_BYTES, DOC_BYTES, PLACE_BYTES = 6, 7, 8, 5
 NO_ID = (1 << 63) - 1
+CARRIED = "carried_"
 
 
 @lru_cache(maxsize=2)
@@ -265,10 +266,10 @@ def compare(groups: int, span: int):
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<first:long,last:long>>, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<first:long,last:long>>, kept binary, kept_text string"
 RESULT_SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
-    ("removed", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("kept", pa.binary()),
+    ("removed", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("kept", pa.binary()), ("kept_text", pa.string()),
 ])
 
 
@@ -304,16 +305,21 @@ def remove(span: int, keep: bool):
                     edge = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
                     spans = [{"first": int(x), "last": int(y)} for x, y in edge.reshape(-1, 2)]
                     rest = data[a:b][~mask].tobytes()
+                    left = np.flatnonzero(np.diff(np.r_[False, ~mask, False].astype(np.int8))).reshape(-1, 2)
                 else:
-                    spans, rest = [], data[a:b].tobytes()
-                out.append((None if ids[i] == NO_ID else int(ids[i]), int(b - a), int(mask.sum()), len(spans), hashlib.sha256(rest).hexdigest(), spans, rest if keep else None))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(RESULT_SCHEMA), RESULT_SCHEMA, strict=True)], schema=RESULT_SCHEMA)
+                    spans, rest, left = [], data[a:b].tobytes(), [(0, b - a)]
+                pieces = "".join(data[a + x : a + y].tobytes().decode("utf-8", "ignore") for x, y in left) if keep else None
+                out.append((None if ids[i] == NO_ID else int(ids[i]), int(b - a), int(mask.sum()), len(spans), hashlib.sha256(rest).hexdigest(), spans, rest if keep else None, pieces))
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(RESULT_SCHEMA), RESULT_SCHEMA, strict=True)]
+        others = [(n, docs.column(n)) for n in docs.column_names if n.startswith(CARRIED)]
+        return pa.table(columns + [c for _, c in others], names=[*RESULT_SCHEMA.names, *(n.removeprefix(CARRIED) for n, _ in others)])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", span: int = SPAN, keep: bool = True) -> DataFrame:
-    """Per document: n_bytes, n_removed, n_spans, kept_sha256, removed (byte ranges) and kept (bytes; null unless `keep`).
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", span: int = SPAN, keep: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: n_bytes, n_removed, n_spans, kept_sha256, removed (byte ranges), kept (bytes) and
+    kept_text (the same without characters that were cut); the last two are null unless `keep`. Then the columns named in `carry`.
 
     A byte goes if a `span`-byte string that covers it also starts in a document with a smaller doc_id, judged on the input; matches
     never cross documents. Null and empty texts, and texts under `span` bytes, lose nothing. Rows that share a doc_id are one
@@ -321,16 +327,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", spa
     """
     if span < ANCHOR:
         raise ValueError(f"span must be {ANCHOR} or more")
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text).alias("t"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text).alias("t"), *(F.col(c).alias(CARRIED + c) for c in carry))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     ranges, groups = int(max(1, total // RANGE)), int(max(1, total // GROUP))
     wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges, groups = max(ranges, wide), max(groups, wide)
     blocks = ranges * (FINER if total > RANGE else 1)
-    sent = rows.mapInArrow(scan_messages(ranges, groups, span), MESSAGES)
+    sent = rows.select("k", "t").mapInArrow(scan_messages(ranges, groups, span), MESSAGES)
     told = durable(sent.groupBy("kind", "place").applyInArrow(search(groups), MESSAGES))
     dealt = rows.withColumn("place", (F.crc32(F.col("k").cast("string")) % groups).cast("int"))
     asked = dealt.groupBy("place").cogroup(told.filter(f"kind = {ASKED}").groupBy("place")).applyInArrow(send_stretches(blocks, span), MESSAGES)
     found = asked.groupBy("place").applyInArrow(compare(groups, span), MESSAGES)
     known = told.filter(f"kind = {COVERED}").unionByName(found)
-    return dealt.groupBy("place").cogroup(known.groupBy("place")).applyInArrow(remove(span, keep), RESULT)
+    return dealt.groupBy("place").cogroup(known.groupBy("place")).applyInArrow(remove(span, keep), ", ".join([RESULT, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)]))
