@@ -112,15 +112,19 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         return (ranks[word],)
     if len(word) >= LONG:
         return merge_long(word, ranks)
+    find, none = ranks.get, 1 << 60
     parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        found = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
-        best = min(found)
-        if best == 1 << 60:
-            break
+    found = [find(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while found and (best := min(found)) < none:
         i = found.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return tuple(ranks[p] for p in parts)
+        piece = parts[i] + parts.pop(i + 1)
+        parts[i] = piece
+        del found[i]
+        if i:
+            found[i - 1] = find(parts[i - 1] + piece, none)
+        if i < len(found):
+            found[i] = find(piece + parts[i + 1], none)
+    return tuple([ranks[p] for p in parts])
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
