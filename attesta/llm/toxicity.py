@@ -30,6 +30,8 @@ GRAMS = (5, 7, 8, 9)
 #: A text's stretches of SEGMENT symbols each give their worst window; the TOP worst of these count.
 SEGMENT, TOP = 32, 3
 BITS = 5
+#: Zeros after each text, so that no window sees the next one; symbols that one step of training or scoring works on.
+GAP, PART = SPAN + WINDOW, 1 << 18
 SYMBOL = np.zeros(256, np.uint8)
 SYMBOL[97:123] = SYMBOL[65:91] = np.arange(1, 27)
 SYMBOL[[9, 10, 11, 12, 13, 32]] = 27
@@ -47,18 +49,27 @@ class ToxicityModel:
 
 
 def stream(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of packed texts, SPAN zeros after each text, and where each text's symbols start."""
+    """The symbols of packed texts, GAP zeros after each text, and where each text's symbols start."""
     symbols = SYMBOL[data]
     real = symbols > 0
     before = np.concatenate([[0], np.cumsum(real)])
     size = before[bounds[1:]] - before[bounds[:-1]]
-    starts = np.concatenate([[0], np.cumsum(size + SPAN)])
-    out = np.zeros(starts[-1] + SPAN + WINDOW, np.uint8)
+    starts = np.concatenate([[0], np.cumsum(size + GAP)])
+    out = np.zeros(starts[-1] + GAP, np.uint8)
     at = np.flatnonzero(real)
-    out[np.arange(len(at)) + np.repeat(np.arange(len(size)) * SPAN, size)] = symbols[at]
+    out[np.arange(len(at)) + np.repeat(np.arange(len(size)) * GAP, size)] = symbols[at]
     return out, starts
 
 
+def parts(starts: np.ndarray, most: int = PART) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about `most` symbols; a longer text stands alone."""
+    i = 0
+    while i < len(starts) - 1:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + most, side="right")) - 1)
+        yield i, j
+        i = j
+
+
 def codes_from(symbols: np.ndarray, places: int) -> Iterator[tuple[np.ndarray, float]]:
     """For each shape, the code of the sequence from each of the first `places` places of the last axis, and its weight."""
     s = symbols.astype(np.int32)
@@ -88,16 +99,18 @@ def window_sums(symbols: np.ndarray, model: ToxicityModel) -> np.ndarray:
 
 def margins(symbols: np.ndarray, starts: np.ndarray, model: ToxicityModel) -> np.ndarray:
     """Text by TOP: the largest window sums of each text's stretches, clipped to [-2, 3]; -2 where it has fewer stretches."""
-    window = window_sums(symbols, model)
-    n = len(starts) - 1
-    pieces = -(-np.diff(starts) // SEGMENT)
-    text = np.repeat(np.arange(n), pieces)
-    rank = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    out = np.full((n, TOP), -2.0)
-    if n:
-        best = np.maximum.reduceat(window[: starts[-1]], starts[:-1][text] + rank * SEGMENT)
+    out = np.full((len(starts) - 1, TOP), -2.0)
+    for i, j in parts(starts):
+        a, b = starts[i], starts[j]
+        window = window_sums(symbols[a : b + GAP], model)[: b - a]
+        window[symbols[a:b] == 0] = -2
+        first = starts[i : j + 1] - a
+        pieces = -(-np.diff(first) // SEGMENT)
+        text = np.repeat(np.arange(j - i), pieces)
+        rank = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        best = np.maximum.reduceat(window, first[:-1][text] + rank * SEGMENT)
         order = np.lexsort((-best, text))
-        out[text[order][rank < TOP], rank[rank < TOP]] = np.clip(best[order][rank < TOP], -2, 3)
+        out[i + text[order][rank < TOP], rank[rank < TOP]] = np.clip(best[order][rank < TOP], -2, 3)
     return out
 
 
@@ -132,44 +145,78 @@ class Landmarks:
         return out
 
 
+def text_of(starts: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.searchsorted(starts, places, side="right") - 1
+
+
+def gram_rows(symbols: np.ndarray, starts: np.ndarray, n: int, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For parts of the stream: hash, text and a place of each distinct string of n symbols in each text that `which` marks."""
+    for i, j in parts(starts):
+        if not which[i:j].any():
+            continue
+        a, b = starts[i], starts[j]
+        hashes = ngram_hash(BYTE_CODE[symbols[a : b + n]], n)[: b - a]
+        text = np.repeat(np.arange(i, j, dtype=np.int32), np.diff(starts[i : j + 1]))
+        whole = which[text]
+        for k in range(n):
+            whole &= symbols[a + k : b + k] > 0
+        at = np.flatnonzero(whole)
+        order = np.lexsort((text[at], hashes[at]))
+        at = at[order]
+        h, t = hashes[at], text[at]
+        once = np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])][: len(h)]
+        yield h[once], t[once], at[once] + a
+
+
 def choose_landmarks(symbols: np.ndarray, starts: np.ndarray, toxic: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Strings that set toxic texts apart, until each such text has COVER of them, with their places in the stream.
+    """Strings that set toxic texts apart, until each such text has COVER of them, with their places in toxic texts.
 
     For strings of each of the lengths GRAMS, the share of texts that hold it; the best are those in many toxic texts that few of the chosen
-    cover yet, and in next to no others.
+    cover yet, and in next to no others. Only strings of toxic texts are held; the other texts are counted part by part.
     """
-    text = np.repeat(np.arange(len(toxic)), np.diff(starts))
     chosen: list[tuple[np.ndarray, np.ndarray]] = []
     for n in GRAMS:
-        hashes = ngram_hash(BYTE_CODE[symbols], n)[: len(text)]
-        whole = np.ones(len(text), bool)
-        for k in range(n):
-            whole &= symbols[k : k + len(text)] > 0
-        at = np.flatnonzero(whole)
-        order = np.lexsort((text[at], hashes[at]))
-        h, t, at = hashes[at][order], text[at][order], at[order]
-        once = np.r_[True, (h[1:] != h[:-1]) | (t[1:] != t[:-1])]
-        h, t, at = h[once], t[once], at[once]
-        cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        held = np.diff(np.r_[cuts, len(h)])
-        bad = np.add.reduceat(toxic[t].astype(np.int64), cuts)
-        good = held - bad
-        able = (bad >= 3) & (good / max(1, (~toxic).sum()) <= 0.2 * bad / max(1, toxic.sum()))
-        ranked = np.flatnonzero(able)
+        held = list(gram_rows(symbols, starts, n, toxic))
+        if not held:
+            continue
+        h, t, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        order = np.argsort(h, kind="stable")
+        h, t, at = h[order], t[order], at[order]
+        cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+        bad = np.diff(np.r_[cuts, len(h)])
+        cuts, bad = cuts[bad >= 3], bad[bad >= 3]
+        if not len(cuts):
+            continue
+        known, good = h[cuts], np.zeros(len(cuts), np.int64)
+        for other, _, _ in gram_rows(symbols, starts, n, ~toxic):
+            i = np.minimum(np.searchsorted(known, other), len(known) - 1)
+            good += np.bincount(i[known[i] == other], minlength=len(known))
+        ranked = np.flatnonzero(good / max(1, (~toxic).sum()) <= 0.2 * bad / max(1, toxic.sum()))
         ranked = ranked[np.argsort(-bad[ranked], kind="stable")][:4000]
         need = np.where(toxic, COVER, 0)
         for _ in range(LANDMARKS // len(GRAMS)):
-            gains = np.array([np.count_nonzero(need[t[cuts[g] : cuts[g] + held[g]]] > 0) - 3 * good[g] for g in ranked]) if len(ranked) else np.zeros(0)
+            gains = np.array([np.count_nonzero(need[t[cuts[g] : cuts[g] + bad[g]]] > 0) - 3 * good[g] for g in ranked]) if len(ranked) else np.zeros(0)
             if not len(gains) or gains.max() < 2:
                 break
             g = ranked[int(gains.argmax())]
-            places = at[cuts[g] : cuts[g] + held[g]]
-            chosen.append((symbols[places[0] : places[0] + n], places))
-            np.subtract.at(need, t[cuts[g] : cuts[g] + held[g]], 1)
+            mine = slice(cuts[g], cuts[g] + bad[g])
+            chosen.append((symbols[at[mine][0] : at[mine][0] + n], at[mine]))
+            np.subtract.at(need, t[mine], 1)
             ranked = ranked[ranked != g]
     return chosen
 
 
+def random_places(rng: np.random.Generator, k: int, starts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """k places of the texts that `which` marks."""
+    texts = np.flatnonzero(which)
+    size = np.diff(starts)[texts]
+    reach = np.cumsum(size)
+    u = rng.integers(0, reach[-1], k)
+    i = np.searchsorted(reach, u, side="right")
+    return starts[texts[i]] + u - (reach[i] - size[i])
+
+
 def windows_at(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
     places = np.clip(places, 0, len(symbols) - WINDOW - SPAN)
     return symbols[places[:, None] + np.arange(WINDOW + SPAN)[None, :]]
@@ -202,18 +249,16 @@ def train(rows: list[tuple[bytes, int]], seed: int = 11) -> ToxicityModel:
     data = np.frombuffer(b"".join(t for t, _ in rows), np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t, _ in rows])])
     symbols, starts = stream(data, bounds)
-    text = np.repeat(np.arange(len(toxic)), np.diff(starts))
     found = choose_landmarks(symbols, starts, toxic)
     if not found:
         return ToxicityModel(np.zeros(size, np.float32), -1.0, np.zeros(TOP), float(np.log(toxic.mean())))
-    clear = np.flatnonzero(~toxic[text])
-    random = windows_at(symbols, rng.choice(clear, 24))
+    random = windows_at(symbols, random_places(rng, 24, starts, ~toxic))
     marks = Landmarks([s for s, _ in found] + [w[:9] for w in random if (w[:9] > 0).all()])
-    places = np.unique(np.concatenate([p[toxic[text[p]]] for _, p in found]))
+    places = np.unique(np.concatenate([p for _, p in found]))
     if len(places) > 6000:
         places = rng.choice(places, 6000, replace=False)
     positive = windows_at(symbols, np.maximum(0, places - rng.integers(0, 4, len(places))))
-    negative = windows_at(symbols, rng.choice(clear, 6000))
+    negative = windows_at(symbols, random_places(rng, 6000, starts, ~toxic))
     inner = marks.matrix.T @ marks.matrix
     value, vector = np.linalg.eigh(inner)
     keep = value > 1e-6
@@ -226,7 +271,9 @@ def train(rows: list[tuple[bytes, int]], seed: int = 11) -> ToxicityModel:
         table = np.zeros(size, np.float32)
         table[marks.codes] = marks.matrix[:-1] @ (whiten @ w[:-1])
         model = ToxicityModel(table, float(w[-1]), np.zeros(TOP), 0.0)
-        hard = np.flatnonzero((window_sums(symbols, model)[: len(text)] > -0.5) & ~toxic[text])
+        wrong = [np.flatnonzero(window_sums(symbols[starts[i] : starts[j] + GAP], model)[: starts[j] - starts[i]] > -0.5) + starts[i] for i, j in parts(starts)]
+        hard = np.concatenate(wrong)
+        hard = hard[~toxic[text_of(starts, hard)]]
         if not len(hard):
             break
         negative = np.concatenate([negative, windows_at(symbols, rng.choice(hard, min(3000, len(hard)), replace=False))])
