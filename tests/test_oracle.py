@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from attesta.plans import domain, registry, relational, retrieval, temporal  # noqa: F401
+from attesta.plans import domain, registry, relational, retrieval, temporal, text  # noqa: F401
 
 
 def plain(rows, names):
