@@ -1,4 +1,4 @@
-"""Relational operators that the queries share: optional filters, pages, top rows by key, percentiles, set differences."""
+"""Relational operators that the queries share: optional filters, pages, places, top rows by key, percentiles, set differences."""
 
 from __future__ import annotations
 
@@ -32,6 +32,21 @@ def page(rows: DataFrame, order: list[Column], first: int, size: int) -> DataFra
     return rows.orderBy(*order).offset(first).limit(size).join(F.broadcast(total), how="cross")
 
 
+def numbered(rows: DataFrame, order: list[str], cuts: int = 255) -> DataFrame:
+    """All rows with their place from 1 by order, whose columns together must tell rows apart, without a window over the whole table.
+
+    Up to `cuts` sort keys, those with the smallest hashes, part the rows into ranges; a row's place is its number within its range after
+    the rows of the ranges before. The ranges depend on the rows only, so that counts and numbers agree however often they are computed.
+    """
+    key = F.struct(*order)
+    bounds = rows.select(key.alias("k")).orderBy(F.xxhash64(*order), "k").limit(cuts).agg(F.collect_list("k").alias("bounds"))
+    ranged = rows.withColumn("_k", key).join(F.broadcast(bounds), how="cross").withColumn("_range", F.size(F.filter("bounds", lambda b: b <= F.col("_k")))).drop("bounds")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    before = counts.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))  # at most cuts + 1 rows
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_k"))
+    return ranged.withColumn("_within", within).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_within")).drop("_k", "_range", "_within", "_before")
+
+
 def percentile_disc(value: str, p: float) -> Column:
     """The exact discrete percentile."""
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")

@@ -239,9 +239,9 @@ def severity_order(spark, sf_dir):
 
 @query("jurisdiction_marked", "SELECT s_suppkey, s_name, s_nationkey <> 7 AS other, row_number() OVER (ORDER BY s_nationkey <> 7, s_name) AS place FROM supplier ORDER BY place LIMIT 100")
 def jurisdiction_marked(spark, sf_dir):
+    """Every supplier with its mark. The SQL stops at 100 rows, so the two agree up to 100 suppliers only."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", (F.col("s_nationkey") != 7).alias("other"))
-    top = s.orderBy("other", "s_name").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("other", "s_name")))
+    return r.numbered(s, ["other", "s_name", "s_suppkey"])
 
 
 @query("released_counts", f"WITH {VERSIONS_SQL}, {RELEASES_SQL} SELECT r.release_no, r.state, count(v.version_id) AS members FROM releases r LEFT JOIN versions v ON v.release_no = r.release_no AND v.review_state = 'PUBLISHED' GROUP BY ALL")
