@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from attesta.operators import graph, rules
 from attesta.plans.registry import query
-from attesta.plans.relational import FLOWS_SQL, flows
+from attesta.plans.relational import FLOWS_SQL, PARTIES_SQL, flows, parties
 from attesta.sources.tables import INCIDENTS_SQL, RELEASES_SQL, VERSIONS_SQL, incidents, releases, table, versions
 
 FACTS_SQL = """facts AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal > 0 END AS solvent, CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey < 5 END AS barred,
@@ -91,6 +91,14 @@ def graph_reach(spark, sf_dir):
     return graph.reach(edges, edges.select(F.col("a").alias("root")).distinct(), 4)
 
 
+@query("party_reach", f"""WITH RECURSIVE {PARTIES_SQL}, walk(root, node, depth) AS (SELECT a, b, 1 FROM flows WHERE a = (SELECT min(a) FROM flows) UNION SELECT root, b, depth + 1 FROM walk JOIN flows ON a = node WHERE depth < 4)
+SELECT root, node, min(depth)::INT AS depth FROM walk WHERE root <> node GROUP BY ALL""")
+def party_reach(spark, sf_dir):
+    """From one customer, as pairs of all roots grow with the square of the graph."""
+    edges = parties(spark, sf_dir)
+    return graph.reach(edges, edges.agg(F.min("a").alias("root")), 4)
+
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 
 

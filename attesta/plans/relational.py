@@ -118,16 +118,45 @@ def flows(spark, sf_dir):
     return joined.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).distinct()
 
 
+#: Customers are even nodes, suppliers odd ones.
+PARTIES_SQL = """flows AS (SELECT 2 * o_custkey AS a, 2 * l_suppkey + 1 AS b FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+  UNION SELECT 2 * l_suppkey + 1, 2 * o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R')"""
+
+
+def parties(spark, sf_dir):
+    """Who buys from whom, and who takes goods back from whom, over all line items: nodes and edges grow with the tables."""
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sides = joined.select((2 * F.col("o_custkey")).alias("c"), (2 * F.col("l_suppkey") + 1).alias("s"), "l_returnflag")
+    return sides.select(F.col("c").alias("a"), F.col("s").alias("b")).union(sides.filter("l_returnflag = 'R'").select("s", "c")).distinct()
+
+
 @query("mutual_links", f"WITH {FLOWS_SQL} SELECT x.a, x.b FROM flows x JOIN flows y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b")
 def mutual_links(spark, sf_dir):
-    f = flows(spark, sf_dir).filter("a <> b")
+    return mutual(flows(spark, sf_dir))
+
+
+@query("party_mutual_links", f"WITH {PARTIES_SQL} SELECT x.a, x.b FROM flows x JOIN flows y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b")
+def party_mutual_links(spark, sf_dir):
+    return mutual(parties(spark, sf_dir))
+
+
+def mutual(edges):
+    f = edges.filter("a <> b")
     both = f.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a") < F.col("b")).alias("up"))
     return both.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n = 2").select("a", "b")
 
 
 @query("union_directions", f"WITH {FLOWS_SQL} SELECT a AS node, b AS other, 'OUT' AS direction FROM flows UNION ALL SELECT b, a, 'IN' FROM flows")
 def union_directions(spark, sf_dir):
-    f = flows(spark, sf_dir)
+    return directions(flows(spark, sf_dir))
+
+
+@query("party_directions", f"WITH {PARTIES_SQL} SELECT a AS node, b AS other, 'OUT' AS direction FROM flows UNION ALL SELECT b, a, 'IN' FROM flows")
+def party_directions(spark, sf_dir):
+    return directions(parties(spark, sf_dir))
+
+
+def directions(f):
     return f.select(F.col("a").alias("node"), F.col("b").alias("other"), F.lit("OUT").alias("direction")).union(f.select("b", "a", F.lit("IN")))
 
 
