@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -16,22 +17,39 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the cluster names none."""
+    """The folder that driver and executors share. Where none is named, a local session gets one; a cluster raises an error, as
+    its executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
-        found = "file://" + tempfile.mkdtemp(prefix="attesta-")
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="attesta-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+#: Folders of tables that durable() wrote, by the table's DataFrame.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df once as a table in the shared folder and read it back: later plans start there."""
     path = f"{shared_dir(df.sparkSession)}/attesta-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[back] = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of durable() that no later plan reads."""
+    path = _WRITTEN.pop(df, None)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def crc_mod(column: str, modulus: int):

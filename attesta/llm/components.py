@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import durable
+from attesta.llm.common import discard, durable
 
+#: A node is a hub if it has more than this many edges and more than one in HUBS of all; so there are at most 2 * HUBS hubs.
+HUB, HUBS = 1000, 1000
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
+
+def star(edges: DataFrame, large: bool, hub_from: int) -> DataFrame:
     """One round over edges (a, b). large: every larger neighbour of a node moves to the node's smallest neighbour or itself;
-    else the node and its smaller neighbours do. Sums by key run before the shuffle; Spark may split a hot key's join."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = both.join(least, "a")
+    else the node and its smaller neighbours do. Sums by key run before the shuffle. The smallest neighbours of hubs, nodes of more
+    than `hub_from` edges, are broadcast, so that a hub's edges stay where they are; the others are joined by node."""
+    if large:
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("d")).select("a", F.least("a", "m").alias("m"), "d")
+    hubs = F.broadcast(least.filter(F.col("d") > hub_from).select("a", F.col("m").alias("hub_m")))
+    marked = both.join(hubs, "a", "left")
+    rest = marked.filter("hub_m is null").select("a", "b").join(least.filter(F.col("d") <= hub_from).select("a", "m"), "a")
+    moved = marked.filter("hub_m is not null").select("a", "b", F.col("hub_m").alias("m")).unionByName(rest)
     if large:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -24,17 +34,21 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (a, b). No edges: no rows.
 
-    Self-loops and repeated edges don't matter; nulls are dropped. Each round is written to the shared folder, and the rounds
-    end when one changes nothing; a graph that needs more than `most_rounds` raises an error rather than give wrong components.
+    Self-loops and repeated edges don't matter; nulls are dropped. Each round is written to the shared folder, the one before it
+    is deleted there, and the rounds end when one changes nothing; a graph that needs more than `most_rounds` raises an error
+    rather than give wrong components.
     """
     edges = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     sign = None
     for _ in range(most_rounds):
-        edges = durable(star(star(edges, True), False))
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == sign or not now[0]:
             break
         sign = now
+        hub_from = max(HUB, now[0] // HUBS)
+        after = durable(star(star(edges, True, hub_from), False, hub_from))
+        discard(edges)
+        edges = after
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
