@@ -3,16 +3,16 @@
 Two forms give the same ids. `fold_words` is native: Spark's higher-order functions fold ranked merges over the bytes of distinct
 words with a literal rank map. `encode` applies it to the commonest words of the corpus, and gives whole texts their ids in Arrow
 batches, where words beyond that table are merged once per task's cache. (Joining all distinct words back to their texts needs more
-shuffle than the limits allow; see the README.)
+shuffle than the limits allow; see the README.) `decode` and `digests` are native: binary pieces are put end to end.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -28,6 +28,8 @@ from attesta.llm.common import slices
 BUCKETS = 16384
 #: Words that the native fold encodes for all tasks: the commonest, by the number of documents that hold them.
 COMMON = 32_768
+#: Bytes of the longest word among them, so that their table is bounded; longer ones are merged in the batches.
+COMMON_BYTES = 256
 #: Tasks that fold the common words.
 FOLDERS = 16
 #: Words that a task's cache holds at most beyond those.
@@ -102,7 +104,7 @@ def fold_words(word: Column, ranks: dict[bytes, int]) -> Column:
 
 def common_words(docs: DataFrame, text: str, pattern: str, most: int) -> DataFrame:
     """The `most` words that the most documents hold, over all documents; a document's repeats are dropped before the shuffle."""
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(java_pattern(pattern)), F.lit(0)))).alias("word"))
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(java_pattern(pattern)), F.lit(0)))).alias("word")).filter(F.octet_length("word") <= COMMON_BYTES)
     return words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).select("word")
 
 
@@ -156,8 +158,8 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 _CACHES: dict[tuple, dict[str, tuple[int, ...]]] = {}
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", common: int = COMMON, digests: bool = False) -> DataFrame:
-    """doc_id and ids (array<int>), a row per row; or, with `digests`, n_tokens, ids_sha256 and decoded_sha256 of whole texts.
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", common: int = COMMON) -> DataFrame:
+    """doc_id and ids (array<int>), a row per row.
 
     Null and empty texts have no ids. Each match of `pattern` is encoded by itself, without special tokens. Only bytes that the vocabulary
     knows can be encoded, else KeyError. Other columns are dropped.
@@ -166,7 +168,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
     frequent = common_words(docs, text, pattern, common)
     table = {r["word"]: tuple(r["ids"]) for r in frequent.repartition(FOLDERS).select("word", fold_words(F.col("word"), ranks).alias("ids")).collect()}
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((ranks, table))  # both bounded: by the vocabulary and by `common`
+    shared = spark.sparkContext.broadcast((ranks, table))  # both bounded: by the vocabulary and by `common` words of COMMON_BYTES
     name = (path, pattern, hash(frozenset(table.items())))
     wanted = spelled(pattern)
 
@@ -174,11 +176,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
         known, given = shared.value
         split = regex.compile(wanted)
         cache = _CACHES.setdefault(name, {})
-        pieces = {r: p for p, r in known.items()}
-        number = {r: str(r) for r in pieces}
         for whole in batches:
             for batch in slices(whole, "t", 4 << 20):
-                rows = []
+                flat, sizes = array("i"), [0]
                 for t in batch.column("t").to_pylist():
                     words = split.findall(t or "")
                     new = [w for w in set(words) if w not in cache]
@@ -187,19 +187,21 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: st
                         new = set(words)
                     for w in new:
                         cache[w] = given.get(w) or merge_word(w.encode(), known)
-                    ids = list(chain.from_iterable(map(cache.__getitem__, words)))
-                    if digests:
-                        decoded = b"".join(map(pieces.__getitem__, ids))
-                        rows.append((len(ids), hashlib.sha256(" ".join(map(number.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-                    else:
-                        rows.append((ids,))
-                columns = list(zip(*rows, strict=True)) or [()] * (3 if digests else 1)
-                kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32())]
-                names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids"]
-                yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *names])
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>"
-    return docs.selectExpr(f"cast({key} as long) k", f"{text} t").mapInArrow(run, schema)
+                    flat.extend(chain.from_iterable(map(cache.__getitem__, words)))
+                    sizes.append(len(flat))
+                values = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), values)], names=["doc_id", "ids"])
+
+    return docs.selectExpr(f"cast({key} as long) k", f"{text} t").mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def digests(encoded: DataFrame, path: str) -> DataFrame:
+    """Of encode()'s rows: n_tokens, ids_sha256 (of the decimal ids) and decoded_sha256 (of the decoded bytes), natively."""
+    ids = F.col("ids")
+    return encoded.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(decode(ids, read_ranks(path)), 256).alias("decoded_sha256"),
+    )
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
