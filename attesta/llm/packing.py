@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens that a bin holds, bytes that count as one token, and documents of one source that a bin holds at most.
-CAPACITY, BYTES_A_TOKEN, PER_SOURCE = 2048, 4, 4
-#: Bits of the bitmaps of sources and duplicate clusters. Two that share a bit count as one: bins stay valid, if stricter.
-SOURCE_BITS, CLUSTER_BITS = 64, 256
-#: Pieces that are packed together, about.
-BLOCK = 4096
+from attesta.llm.byte_bpe import read_ranks
+from attesta.llm.minhash import near_duplicates
+
+#: Tokens that a bin holds, and documents of one source that a bin holds at most.
+CAPACITY, PER_SOURCE = 2048, 4
+#: Documents, and bytes of text, that are packed together, about.
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
 
 
 class Bins:
@@ -23,7 +27,7 @@ class Bins:
     def __init__(self, capacity: int, per_source: int):
         self.capacity, self.per_source = capacity, per_source
         self.rooms = 0
-        self.at: dict[int, list[int]] = {}
+        self.at: dict[int, dict[int, None]] = {}  # the bins of each residual, the oldest there first
         self.sources: list[list[int]] = []  # per bin: planes; a source's bit in plane k says that the bin has more than k of its documents
         self.clusters: list[int] = []
         self.used: list[int] = []
@@ -41,7 +45,7 @@ class Bins:
             room += step
             for b in self.at[room]:
                 if self.compatible(b, source, cluster):
-                    self.at[room].remove(b)
+                    del self.at[room][b]
                     if not self.at[room]:
                         self.rooms &= ~(1 << room)
                     return self.fill(b, size, source, cluster)
@@ -62,54 +66,117 @@ class Bins:
         self.used[b] += size
         room = self.capacity - self.used[b]
         if room:
-            self.at.setdefault(room, []).append(b)
+            self.at.setdefault(room, {})[b] = None
             self.rooms |= 1 << room
         return b
 
 
-PACKED = "doc_id long, piece int, n_tokens int, first_byte long, n_bytes long, block long, bin int, bin_used int"
+@lru_cache(maxsize=2)
+def tokenizer(path: str, pattern: str, ranks: tuple) -> tiktoken.Encoding:
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
+
+
+def bits(values: np.ndarray, shared_only: bool) -> list[int]:
+    """A bit for each different value, exactly: equal values have the same one. shared_only: 0 for values that occur once."""
+    _, number, count = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.cumsum(count > 1) - 1 if shared_only else np.arange(len(count))
+    return [0 if shared_only and count[x] == 1 else 1 << int(order[x]) for x in number]
+
+
+PARTS = "array<struct<doc_id:long,piece:int,first:int,n:int,whole:long>>"
+BINS = f"block long, bin int, used int, tokens array<int>, parts {PARTS}"
+PART_TYPE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("whole", pa.int64())])
+BIN_SCHEMA = pa.schema([("block", pa.int64()), ("bin", pa.int32()), ("used", pa.int32()), ("tokens", pa.list_(pa.int32())), ("parts", pa.list_(PART_TYPE))])
 
 
-def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", cluster: str | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
-    """A row for each piece of each document: its size, its place in the text, its bin (block, bin) and how full that bin is.
+def pack(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", source: str = "source", cluster: str | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE
+) -> DataFrame:
+    """A row for each bin: block and bin, how many tokens are used, the tokens, and its parts: each a piece of a document by its first
+    token in the bin and its number of tokens; `whole` is the document's number of tokens.
 
-    A text longer than a bin is cut into pieces that fill whole bins, and a rest. Every text takes a token at least, null and empty
-    ones included. A bin has at most `per_source` documents of a source, and no two of one duplicate cluster: `cluster` is a column,
-    or else equal texts are a cluster. Null sources are one source. Pieces are dealt to blocks of about BLOCK by hash, so that a source
-    or cluster of any share spreads over all blocks; a block packs in order of size, then doc_id and place. Repeated rows are
-    packed apart. Texts aren't moved: only sizes are shuffled. Other columns are dropped.
+    Texts are tokenised by the vocabulary at `path`, as the byte-level BPE operator does, and each ends with one closing
+    token, the first id beyond the vocabulary; so every text takes a token at least, null and empty ones too. A text longer than a bin is
+    cut into pieces that fill whole bins, and a rest. A bin has at most `per_source` pieces of a source, and no two of one
+    duplicate cluster: `cluster` is a column, or else equal texts are a cluster; rows with a null there are alone, but the
+    pieces of one row count as a cluster too. Null sources are one source. Documents are dealt to blocks of about BLOCK by a hash of id and text, so
+    that a source or cluster of any share spreads over all blocks; a block packs in order of size, then doc_id and
+    place. Repeated rows are packed apart. Other columns are dropped.
     """
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    cluster_of = F.xxhash64(F.coalesce(F.col(cluster).cast("string"), F.lit(""))) if cluster else F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    whole = capacity * BYTES_A_TOKEN
+    alone = F.concat_ws(" ", F.lit("row"), F.col(key).cast("string"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).cast("string"))
+    cluster_of = F.coalesce(F.concat(F.lit("c"), F.col(cluster).cast("string")), alone) if cluster else F.coalesce(F.col(text), F.lit(""))
+    total = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    blocks = max(1, total[0] // BLOCK, (total[1] or 0) // BLOCK_BYTES)
     rows = docs.select(
-        F.col(key).cast("long").alias("doc_id"), size.alias("size"), F.pmod(F.xxhash64(F.coalesce(F.col(source).cast("string"), F.lit(""))), F.lit(SOURCE_BITS)).cast("int").alias("s"),
-        F.pmod(cluster_of, F.lit(CLUSTER_BITS)).cast("int").alias("c"),
+        F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"), F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))).alias("s"),
+        F.xxhash64(cluster_of).alias("c"), F.pmod(F.xxhash64(F.lit(29), F.col(key).cast("long"), F.col(text)), F.lit(blocks)).alias("block"),
     )
-    count = docs.count()
-    blocks = max(1, count // BLOCK)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(blocks)))
-    names = [x.split()[0] for x in PACKED.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32()}
-    schema = pa.schema([(n, kinds[x.split()[1]]) for n, x in zip(names, PACKED.split(", "), strict=True)])
+    ranks = docs.sparkSession.sparkContext.broadcast(tuple(read_ranks(path).items()))  # bounded by the vocabulary
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids, sizes, s, c = (table.column(n).to_numpy() for n in ("doc_id", "size", "s", "c"))
-        pieces = np.maximum(1, -(-sizes // whole))
+        encode = tokenizer(path, pattern, ranks.value).encode_ordinary
+        close = len(ranks.value)
+        ids, s, c = (table.column(n).to_numpy() for n in ("doc_id", "s", "c"))
+        names = table.column("doc_id").to_pylist()
+        tokens = [np.array([*encode(t or ""), close], np.int32) for t in table.column("t").to_pylist()]
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        pieces = -(-sizes // capacity)
         row = np.repeat(np.arange(len(ids)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first = piece * whole
-        n_bytes = np.minimum(sizes[row] - first, whole)
-        tokens = np.maximum(1, -(-n_bytes // BYTES_A_TOKEN))
-        order = np.lexsort((piece, ids[row], -tokens))
+        n = np.minimum(sizes[row] - piece * capacity, capacity)
+        order = np.lexsort((piece, ids[row], -n))
+        of_source, of_cluster = bits(s[row], False), bits(c[row], True)
         bins = Bins(capacity, per_source)
-        place = np.zeros(len(row), np.int32)
+        inside: list[list[int]] = []
         for i in order.tolist():
-            r = row[i]
-            place[i] = bins.put(int(tokens[i]), 1 << int(s[r]), 1 << int(c[r]))
-        used = np.array(bins.used, np.int32)[place]
-        block = np.full(len(row), key[0].as_py())
-        found = dict(zip(names, (table.column("doc_id").take(pa.array(row)), piece, tokens, first, n_bytes, block, place, used), strict=True))
-        return pa.table([found[f.name].cast(f.type) if isinstance(found[f.name], pa.ChunkedArray) else pa.array(found[f.name].astype(f.type.to_pandas_dtype())) for f in schema], schema=schema)
-
-    return rows.groupBy("block").applyInArrow(run, PACKED)
+            b = bins.put(int(n[i]), of_source[i], of_cluster[i])
+            if b == len(inside):
+                inside.append([])
+            inside[b].append(i)
+        joined, parts = [], []
+        for held in inside:
+            first, out = 0, []
+            for i in held:
+                out.append({"doc_id": names[row[i]], "piece": int(piece[i]), "first": first, "n": int(n[i]), "whole": int(sizes[row[i]])})
+                first += int(n[i])
+            parts.append(out)
+            joined.append(np.concatenate([tokens[row[i]][piece[i] * capacity : piece[i] * capacity + n[i]] for i in held]))
+        columns = [np.full(len(inside), key[0].as_py()), np.arange(len(inside), dtype=np.int32), np.array(bins.used, np.int32), joined, parts]
+        return pa.table([pa.array(x, f.type) for x, f in zip(columns, BIN_SCHEMA, strict=True)], schema=BIN_SCHEMA)
+
+    return rows.groupBy("block").applyInArrow(run, BINS)
+
+
+PIECES = "doc_id long, piece int, n_tokens int, doc_tokens long, block long, bin int, bin_used int, n_bytes long, piece_sha256 string"
+
+
+def unpack(bins: DataFrame, path: str) -> DataFrame:
+    """A row for each part of each bin, read back from its tokens: the size and digest of its bytes, without the closing token."""
+    ranks = bins.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = [b""] * (len(ranks.value) + 1)
+        for p, r in ranks.value.items():
+            pieces[r] = p
+        look = pieces.__getitem__
+        for batch in batches:
+            out = []
+            for block, b, used, tokens, parts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for p in parts:
+                    data = b"".join(map(look, tokens[p["first"] : p["first"] + p["n"]]))
+                    out.append((p["doc_id"], p["piece"], p["n"], p["whole"], block, b, used, len(data), hashlib.sha256(data).hexdigest()))
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+            names = [x.split()[0] for x in PIECES.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names=names)
+
+    return bins.select("block", "bin", "used", "tokens", "parts").mapInArrow(run, PIECES)
+
+
+def with_clusters(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with near_duplicate: the component of near duplicates, of two or more documents, that a document is in, or null.
+
+    Rows with a null id have none."""
+    found = near_duplicates(docs, text, key)
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1 and component_id is not null")
+    some = found.join(several, "component_id").select(F.col("doc_id").alias("of_"), F.col("component_id").alias("near_duplicate")).dropDuplicates(["of_"])
+    return docs.join(some, F.col(key).cast("long") == F.col("of_"), "left").drop("of_")
