@@ -15,8 +15,10 @@ from attesta.llm.common import durable, slices
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
-#: A host is refused if its shrunk failure rate reaches this.
-HOST_LIMIT = 0.6
+#: A host is refused if more than this share of its documents fails, even SURE deviations below its shrunk rate.
+HOST_LIMIT, SURE = 0.3, 2.33
+#: Documents by which a host counts in the prior at most.
+WEIGHT = 100
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -55,30 +57,35 @@ def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """host, n, failed and rate: failures over documents, shrunk by a beta prior fitted to all hosts by moments.
+    """host, n, failed, rate and low: failures over documents, shrunk by a beta prior fitted to all hosts by moments, and the
+    lower bound of that rate, SURE posterior deviations below it.
 
-    Rows are summed before the shuffle, so one host may hold any share of them. The prior comes from all hosts:
-    mean m and variance v of their rates, weighted by documents; strength m(1-m)/v - 1, between 1 and 1000.
-    Null hosts are one host. No rows: no hosts.
+    Rows are summed before the shuffle, so one host may hold any share of them. A host counts in the prior by its
+    documents, up to WEIGHT, so that a large host doesn't set it alone. Mean m is that of the hosts' rates; their variance less what
+    drawing n documents adds to it, m(1-m)/n, is v; strength m(1-m)/v - 1, between 1 and 1000. Null hosts are one host. No
+    rows: no hosts.
     """
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    prior = hosts.agg((F.sum("failed") / F.sum("n")).alias("m"), F.sum("n").alias("total"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("sq"))
-    prior = prior.selectExpr("m", "greatest(sq / total - m * m, 1e-9) v").selectExpr("m", "least(greatest(m * (1 - m) / v - 1, 1D), 1000D) strength").first()
+    each = hosts.selectExpr("n", "failed / n p", f"least(n, {WEIGHT}) w")
+    sums = each.selectExpr("sum(w * p) / sum(w) m", "sum(w * p * p) / sum(w) sq", "sum(w / n) / sum(w) noise")
+    prior = sums.selectExpr("m", "greatest(sq - m * m - m * (1 - m) * noise, 1e-9) v").selectExpr("m", "least(greatest(m * (1 - m) / v - 1, 1D), 1000D) strength").first()
     m, strength = (prior["m"] or 0.0, prior["strength"] or 1.0) if prior else (0.0, 1.0)
-    return hosts.withColumn("rate", (F.col("failed") + F.lit(m * strength)) / (F.col("n") + F.lit(strength)))
+    shrunk = hosts.withColumn("rate", (F.col("failed") + F.lit(m * strength)) / (F.col("n") + F.lit(strength)))
+    return shrunk.withColumn("low", F.col("rate") - SURE * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(strength + 1))))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """Per document: the measures, base_failed, its host's shrunk failure rate and kept.
+    """Per document: the measures, base_failed, its host's shrunk failure rate, host_refused and kept.
 
-    kept is false if the document fails the base rules or its host's rate reaches `limit`. Nulls: no text fails;
-    null hosts are judged together. Repeated rows are kept apart; other columns are dropped. The measures are written once
-    to the shared folder. A host's verdict is one row, joined back by host, where Spark may split a hot one.
+    kept is false if the document fails the base rules or its host is refused: even the lower bound of the host's rate is over
+    `limit`. Nulls: no text fails; null hosts are judged together. Repeated rows are kept apart; other columns are
+    dropped. The measures are written once to the shared folder. A host's verdict is one row, joined back by host, where
+    Spark may split a hot one.
     """
     measured = durable(measures(docs, text, key, host))
-    hosts = host_rates(measured).select(F.col("host").alias("of"), F.col("rate").alias("host_rate"))
+    hosts = host_rates(measured).select(F.col("host").alias("of"), F.col("rate").alias("host_rate"), (F.col("low") > limit).alias("host_refused"))
     return (
         measured.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left")
         .drop("of")
-        .withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) < limit))
+        .withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_refused", F.lit(False)))
     )
