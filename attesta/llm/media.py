@@ -73,7 +73,7 @@ def pair_codes(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[order].astype(np.int32), c[order].astype(np.int32)
 
 
-def media_row(text: bytes, keep_pairs: bool = True) -> tuple:
+def media_row(text: bytes) -> tuple:
     payload = text + b" " * (-len(text) % FRAME or (0 if text else FRAME))
     stored = wav_bytes(payload)
     back = read_wav(stored)
@@ -81,16 +81,17 @@ def media_row(text: bytes, keep_pairs: bool = True) -> tuple:
     digest = hashlib.sha256(times.tobytes() + codes.tobytes()).hexdigest()
     return (
         len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored),
-        hashlib.sha256(stored).hexdigest(), times if keep_pairs else None, codes if keep_pairs else None, f"{len(codes)}:{digest}",
+        hashlib.sha256(stored).hexdigest(), times, codes, f"{len(codes)}:{digest}",
     )
 
 
-def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id", keep_pairs: bool = True) -> DataFrame:
+def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Store each whole text's UTF-8 bytes as a WAV of 8-bit samples, read it back and fingerprint its spectrum.
 
     A text is padded with spaces to a positive multiple of 192 bytes, so null and empty texts give one frame.
     Equal texts give equal rows; other columns are dropped, so clashing names don't matter. One row per input row.
-    A row needs memory in proportion to its own text only. keep_pairs: also return the fingerprint arrays.
+    A row needs memory in proportion to its own text only. The fingerprint is peak_codes, time-coded by peak_times: the code of
+    each pair of peaks and its anchor's frame; feature is their number and digest.
     """
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
@@ -101,7 +102,7 @@ def media_columns(docs: DataFrame, text: str = "text", key: str = "doc_id", keep
         for whole in batches:
             for batch in slices(whole, "t"):
                 texts = batch.column("t").cast(pa.binary()).to_pylist()
-                rows = [media_row(t or b"", keep_pairs) for t in texts]
+                rows = [media_row(t or b"") for t in texts]
                 columns = [batch.column("k"), *map(list, zip(*rows, strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if i else c for i, (c, f) in enumerate(zip(columns, schema, strict=True))], schema=schema)
 
