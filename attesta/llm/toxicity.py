@@ -1,7 +1,7 @@
 """Toxicity: a subsequence string kernel with Nystroem landmarks under a linear support vector machine.
 
-Texts become streams of letters, white space and parts of other letters; digits and punctuation fall out, so characters inserted
-into a word don't hide it. The kernel of two strings sums, over all sequences of ORDER symbols within SPAN, the product of their
+Texts become streams of letters, white space and parts of other letters; digits and punctuation fall out, and so do blanks between
+single letters, so characters inserted into a word, or blanks between its letters, don't hide it. The kernel of two strings sums, over all sequences of ORDER symbols within SPAN, the product of their
 weights DECAY^gaps. The machine is linear in the landmarks' kernel values and the kernel is linear in the sequences, so a trained
 model is one table of sequence weights. A text is scored by the windows of its worst stretches, TOP of them.
 """
@@ -34,7 +34,8 @@ BITS = 5
 GAP, PART = SPAN + WINDOW, 1 << 18
 SYMBOL = np.zeros(256, np.uint8)
 SYMBOL[97:123] = SYMBOL[65:91] = np.arange(1, 27)
-SYMBOL[[9, 10, 11, 12, 13, 32]] = 27
+BLANK = 27
+SYMBOL[[9, 10, 11, 12, 13, 32]] = BLANK
 SYMBOL[128:] = 28 + np.arange(128) % 4
 #: The places of a sequence's second to last symbol after its first, and the weight of its gaps.
 SHAPES = [(c, DECAY ** (c[-1] - ORDER + 1)) for c in combinations(range(1, SPAN), ORDER - 1)]
@@ -48,10 +49,28 @@ class ToxicityModel:
     offset: float
 
 
+def spaced(symbols: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of the places `at` of symbols, those of blanks that stand between two words of one letter each."""
+    text = np.searchsorted(bounds, at, side="right")
+    letter = symbols[at] != BLANK
+
+    def beside(k: int) -> np.ndarray:
+        """Whether the symbol k places on is a letter of the same text."""
+        out = np.zeros(len(at), bool)
+        if k > 0:
+            out[:-k] = letter[k:] & (text[k:] == text[:-k])
+        else:
+            out[-k:] = letter[:k] & (text[:k] == text[-k:])
+        return out
+
+    return at[~letter & beside(-1) & ~beside(-2) & beside(1) & ~beside(2)] if len(at) > 2 else at[:0]
+
+
 def stream(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of packed texts, GAP zeros after each text, and where each text's symbols start."""
     symbols = SYMBOL[data]
     real = symbols > 0
+    real[spaced(symbols, np.flatnonzero(real), bounds)] = False
     before = np.concatenate([[0], np.cumsum(real)])
     size = before[bounds[1:]] - before[bounds[:-1]]
     starts = np.concatenate([[0], np.cumsum(size + GAP)])
