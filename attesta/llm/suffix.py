@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import BYTE_CODE, FACTOR, durable, mix, ngram_hash, packed, sliding_min, steps
-from attesta.llm.suffix_array import Block, adjacent_prefixes, suffix_array
+from attesta.llm.suffix_array import DEPTH, Block, adjacent_prefixes, suffix_array
 
 SPAN = 50
 ANCHOR = 16
@@ -248,7 +248,7 @@ def compare(groups: int, span: int):
         own, doc, length = (np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True))
         length = length.astype(np.int64)
         block = Block(np.frombuffer(b"".join(p[1] for p in parts), np.uint8), length)
-        order = suffix_array(block)
+        order = suffix_array(block, max(DEPTH, span))
         common = adjacent_prefixes(block, order, span, span)
         run_starts = np.flatnonzero(common < span)
         number = np.repeat(np.arange(len(length)), length + 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes after which suffixes count as equal; a multiple of 4, above any prefix that callers ask for.
+#: Bytes after which suffixes count as equal unless a caller asks for more; a multiple of 4.
 DEPTH = 64
 
 
@@ -42,8 +42,8 @@ def rises(text: np.ndarray) -> np.ndarray:
     return (text == 0) | (known & (text[at] < text[np.minimum(at + 1, n - 1)]))
 
 
-def sort_directly(block: Block, chosen: np.ndarray) -> np.ndarray:
-    """The chosen suffixes in order of their first DEPTH bytes, by refining groups of equal prefixes."""
+def sort_directly(block: Block, chosen: np.ndarray, most: int = DEPTH) -> np.ndarray:
+    """The chosen suffixes in order of their first `most` bytes, by refining groups of equal prefixes."""
     first = block.words[chosen]
     order = np.argsort(first, kind="stable")
     chosen, first = chosen[order], first[order]
@@ -51,7 +51,7 @@ def sort_directly(block: Block, chosen: np.ndarray) -> np.ndarray:
     rank = np.maximum.accumulate(np.where(np.r_[True, first[1:] != first[:-1]], np.arange(len(chosen)), 0))
     active = np.arange(len(chosen))
     depth = 8
-    while depth < DEPTH:
+    while depth < most:
         group = rank[active]
         tied = np.zeros(len(active), bool)
         same = group[1:] == group[:-1]
@@ -72,8 +72,8 @@ def sort_directly(block: Block, chosen: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def suffix_array(block: Block) -> np.ndarray:
-    """All suffixes in order: those smaller than their successor are sorted directly; bucket scans induce the others."""
+def suffix_array(block: Block, most: int = DEPTH) -> np.ndarray:
+    """All suffixes in order of their first `most` bytes: those smaller than their successor are sorted directly; bucket scans induce the others."""
     text = block.text
     n = len(text)
     direct = rises(text)
@@ -81,7 +81,7 @@ def suffix_array(block: Block) -> np.ndarray:
     start = np.cumsum(counts) - counts
     induced = np.bincount(text[~direct], minlength=256)
     order = np.empty(n, np.int64)
-    sorted_direct = sort_directly(block, np.flatnonzero(direct))
+    sorted_direct = sort_directly(block, np.flatnonzero(direct), most)
     letters = text[sorted_direct]
     base = np.searchsorted(letters, np.arange(257))
     for c in np.flatnonzero(counts - induced):
@@ -111,7 +111,7 @@ def suffix_array(block: Block) -> np.ndarray:
 
 
 def adjacent_prefixes(block: Block, order: np.ndarray, most: int, least: int = 0) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it in order, up to `most` (at most DEPTH); 0 for the first.
+    """Length of the common prefix of each suffix with the one before it in order, up to `most`, by which the suffixes must be ordered; 0 for the first.
 
     Where either suffix is shorter than `least`, 0."""
     common = np.zeros(len(order), np.int64)
