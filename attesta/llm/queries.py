@@ -20,11 +20,13 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"), keep_pairs=False).drop("peak_times", "peak_codes")
+    return media.media_columns(table(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    docs = packing.with_clusters(table(spark, sf_dir, "documents"))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.unpack(packing.pack(docs, path, public_tokenizers.PATTERN, cluster="near_duplicate"), path)
 
 
 def op4_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -107,3 +109,78 @@ def best_fit(pieces: list[tuple], capacity: int, per_source: int) -> list[int]:
         b["since"] = clock
         out.append(b["n"])
     return out
+
+
+def host_rates(hosts: dict) -> dict:
+    """host: (shrunk failure rate, its lower bound), from host: (documents, failures)."""
+    weight = {h: min(n, 100) for h, (n, _) in hosts.items()}
+    whole = sum(weight.values())
+    mean = sum(weight[h] * f / n for h, (n, f) in hosts.items()) / whole
+    spread = sum(weight[h] * (f / n - mean) ** 2 for h, (n, f) in hosts.items()) / whole
+    noise = sum(weight[h] * mean * (1 - mean) / n for h, (n, _) in hosts.items()) / whole
+    strength = min(max(mean * (1 - mean) / max(spread - noise, 1e-9) - 1, 1.0), 1000.0)
+    out = {}
+    for h, (n, f) in hosts.items():
+        rate = (f + mean * strength) / (n + strength)
+        out[h] = (rate, rate - 2.33 * (rate * (1 - rate) / (n + strength + 1)) ** 0.5)
+    return out
+
+
+BANDS = [(1, 6), (6, 12), (12, 24), (24, 48), (48, 97)]
+
+
+def peaks_fit(payload: bytes, found) -> bool:
+    """Whether found holds, for each frame and band, a bin of the largest power by the transform's definition, or 0 for silence."""
+    n = np.arange(192)
+    turn = np.exp(-2j * np.pi * np.outer(n[:97], n) / 192)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * n / 191)
+    for f, got in zip(range(0, len(payload) // 192), found, strict=True):
+        x = np.array(list(payload[192 * f : 192 * f + 192]), float) - 128
+        power = abs(turn @ ((x - x.mean()) * window))
+        for (lo, hi), b in zip(BANDS, got, strict=True):
+            top = power[lo:hi].max()
+            if b == 0 and top > 2e-3 or b and not (lo <= b < hi and power[b] >= top * 0.999 - 1e-3):
+                return False
+    return True
+
+
+def peak_pairs(found: list[list[int]]) -> list[tuple[int, int]]:
+    """(frame, code) of each peak with the next band's peak, one to three frames later; the last band's partner is the first."""
+    out = []
+    for i, row in enumerate(found):
+        for gap in (1, 2, 3):
+            if i + gap < len(found):
+                for k, a in enumerate(row):
+                    b = found[i + gap][(k + 1) % len(row)]
+                    if a and b:
+                        out.append((i, a << 10 | b << 2 | gap))
+    return sorted(out)
+
+
+def worst_windows(text: str, table, bias: float, decay: float = 0.6) -> list[float]:
+    """The three largest window sums of a text's stretches of 32 symbols, by the kernel's definition: all sequences of four symbols
+    within seven places, from each of a window's twelve places."""
+    from itertools import combinations
+
+    symbols = []
+    for b in text.encode():
+        c = chr(b).lower()
+        s = ord(c) - 96 if "a" <= c <= "z" else 27 if c in "\t\n\x0b\x0c\r " else 28 + (b - 128) % 4 if b > 127 else 0
+        if s:
+            symbols.append(s)
+    letter = [s != 27 for s in symbols]
+    at = lambda i: 0 <= i < len(symbols) and letter[i]
+    symbols = [s for i, s in enumerate(symbols) if not (s == 27 and at(i - 1) and not at(i - 2) and at(i + 1) and not at(i + 2))]
+    place = []
+    for i in range(len(symbols)):
+        total = 0.0
+        for rest in combinations(range(1, 7), 3):
+            if i + rest[-1] < len(symbols):
+                code = 0
+                for s in (symbols[i], *(symbols[i + r] for r in rest)):
+                    code = code << 5 | s
+                total += float(table[code]) * decay ** (rest[-1] - 3)
+        place.append(total)
+    sums = [min(3, max(-2, sum(place[i : i + 12]) + bias)) for i in range(len(place))]
+    best = sorted((max(sums[i : i + 32]) for i in range(0, len(sums), 32)), reverse=True)[:3]
+    return best + [-2.0] * (3 - len(best))

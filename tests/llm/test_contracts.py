@@ -9,6 +9,7 @@ import pytest
 import tiktoken
 
 from attesta.llm import queries as q
+from attesta.llm.media import pair_codes, peaks
 from tests.llm import brute
 
 
@@ -39,8 +40,15 @@ def test_media_round_trip(spark, small, docs):
         payload = data.ljust(size, b" ")
         r = found[k]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), size, brute.sha(payload), zlib.crc32(payload[-16:]))
-        assert r["media_bytes"] > r["payload_bytes"]
-        assert r["feature"]
+        assert r["media_bytes"] == r["payload_bytes"] + 44 + r["payload_bytes"] % 2
+        pairs = np.array([r["peak_times"], r["peak_codes"]], np.int32)
+        assert r["feature"] == f"{pairs.shape[1]}:{brute.sha(pairs.tobytes())}"
+    for k in sorted(docs)[:40]:
+        payload = (docs[k] or "").encode()[:9600].ljust(192, b" ")
+        frames = peaks(payload[: len(payload) // 192 * 192])
+        assert brute.peaks_fit(payload, frames)
+        times, codes = pair_codes(frames)
+        assert list(zip(times.tolist(), codes.tolist(), strict=True)) == brute.peak_pairs(frames.tolist())
 
 
 def test_chat_round_trip(spark, small):
@@ -94,16 +102,29 @@ def test_quality_rules_match_brute_force(spark, small):
         failed[d["doc_id"]] = brute.base_failed(m)
         assert r["base_failed"] == failed[d["doc_id"]]
         hosts.setdefault(d["source"], []).append(failed[d["doc_id"]])
-    n = np.array([len(x) for x in hosts.values()], float)
-    f = np.array([sum(x) for x in hosts.values()], float)
-    m = f.sum() / n.sum()
-    v = max((f * f / n).sum() / n.sum() - m * m, 1e-9)
-    strength = min(max(m * (1 - m) / v - 1, 1.0), 1000.0)
-    rate = {h: (sum(x) + m * strength) / (len(x) + strength) for h, x in hosts.items()}
+    rates = brute.host_rates({h: (len(x), sum(x)) for h, x in hosts.items()})
     for d in table:
         r = found[d["doc_id"]]
-        assert r["host_rate"] == pytest.approx(rate[d["source"]])
-        assert r["kept"] == (not failed[d["doc_id"]] and rate[d["source"]] < 0.6)
+        rate, low = rates[d["source"]]
+        assert r["host_rate"] == pytest.approx(rate)
+        assert r["host_refused"] == (low > 0.3)
+        assert r["kept"] == (not failed[d["doc_id"]] and low <= 0.3)
+
+
+def test_a_bad_host_is_refused_and_others_stay(spark):
+    from attesta.llm.quality_rules import quality_rules
+
+    good = "one two three four five six seven eight nine ten eleven {}"
+    sizes = {"big": (900, 30), "bad": (120, 90), "small bad": (6, 5), "plain": (200, 8), "other": (150, 3), None: (40, 1)}
+    rows = [(1000 * i + k, "short" if k < failed else good.format(k), host) for i, (host, (n, failed)) in enumerate(sizes.items()) for k in range(n)]
+    found = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    want = brute.host_rates(sizes)
+    for r in found:
+        rate, low = want[r["host"]]
+        assert r["host_rate"] == pytest.approx(rate) and r["host_refused"] == (low > 0.3)
+        assert r["kept"] == (not r["base_failed"] and not r["host_refused"])
+    assert {r["host"] for r in found if r["host_refused"]} == {"bad"} | ({"small bad"} if want["small bad"][1] > 0.3 else set())
+    assert sum(r["base_failed"] for r in found if r["host"] == "bad") == 90 and not any(r["kept"] for r in found if r["host"] == "bad")
 
 
 def test_toxicity_finds_held_out_toxic_texts(spark, small):
@@ -150,26 +171,45 @@ def test_quality_grades_rank_held_out_texts(spark, small):
     assert all(0 <= r["tail"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in found.values())
 
 
-def test_packing_matches_plain_best_fit(spark, small):
-    table = spark.read.parquet(f"{small}/documents.parquet")
-    found = q.op3_packing(spark, small).collect()
-    size = {r["doc_id"]: r["n"] for r in table.selectExpr("doc_id", "coalesce(octet_length(text), 0) n").collect()}
-    whole = {}
+def library():
+    from attesta.llm.byte_bpe import read_ranks
+
+    return tiktoken.Encoding("b", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+
+
+def holds_all_texts(found, texts):
+    """Whether the pieces read back are the texts' tokens, cut at whole bins."""
+    lib = library()
+    got = {}
     for r in found:
-        whole.setdefault(r["doc_id"], []).append((r["piece"], r["first_byte"], r["n_bytes"]))
-    assert {k: sum(x[2] for x in v) for k, v in whole.items()} == size
-    for pieces in whole.values():
-        assert [p for p, _, _ in sorted(pieces)] == list(range(len(pieces)))
-    bits = {r["doc_id"]: (r["s"], r["c"]) for r in table.selectExpr("doc_id", "pmod(xxhash64(coalesce(source, '')), 64) s", "pmod(xxhash64(coalesce(text, '')), 256) c").collect()}
+        got.setdefault(r["doc_id"], []).append(r)
+    assert set(got) == set(texts)
+    for k, pieces in got.items():
+        ids = [*lib.encode_ordinary(texts[k] or ""), 50256]
+        cut = [ids[i : i + 2048] for i in range(0, len(ids), 2048)]
+        pieces.sort(key=lambda r: r["piece"])
+        want = [(i, len(c), brute.sha(lib.decode_bytes([t for t in c if t != 50256]))) for i, c in enumerate(cut)]
+        assert [(r["piece"], r["n_tokens"], r["piece_sha256"]) for r in pieces] == want
+        assert all(r["doc_tokens"] == len(ids) for r in pieces)
+
+
+def test_packing_matches_plain_best_fit(spark, small, docs):
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    found = q.op3_packing(spark, small).collect()
+    holds_all_texts(found, docs)
+    cluster = {k: c for k, (_, c) in brute.near(docs, 5, 80).items()}
+    assert len(set(cluster.values())) < len(cluster)
     for block in {r["block"] for r in found}:
         mine = sorted((r for r in found if r["block"] == block), key=lambda r: (-r["n_tokens"], r["doc_id"], r["piece"]))
-        bins = brute.best_fit([(r["n_tokens"], *bits[r["doc_id"]]) for r in mine], 2048, 4)
+        bins = brute.best_fit([(r["n_tokens"], source[r["doc_id"]], cluster[r["doc_id"]]) for r in mine], 2048, 4)
         assert bins == [r["bin"] for r in mine]
-        used = {}
+        used, held = {}, {}
         for r in mine:
             used[r["bin"]] = used.get(r["bin"], 0) + r["n_tokens"]
+            held.setdefault(r["bin"], []).append(cluster[r["doc_id"]])
         assert max(used.values()) <= 2048
         assert all(r["bin_used"] == used[r["bin"]] for r in mine)
+        assert all(len(set(c)) == len(c) for c in held.values())
 
 
 def test_pipeline_matches_brute_force(spark, small):
@@ -195,7 +235,7 @@ def test_pipeline_matches_brute_force(spark, small):
     want = brute.repeats(held)
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in cut.collect()} == {k: (v[4], len(v[4])) for k, v in want.items() if v[4] or not v[1]}
     packed = stages["packing"](spark, cut, small)
-    assert packed.selectExpr("sum(n_bytes)").first()[0] == sum(len(v[4].encode()) for v in want.values())
+    holds_all_texts(packed.collect(), {r["doc_id"]: r["text"] for r in cut.collect()})
 
 
 def test_equal_texts_give_equal_media(spark):

@@ -38,11 +38,18 @@ def labels(spark):
     return spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def packed(d, cluster=None):
+    return packing.unpack(packing.pack(d, VOCABULARY, public_tokenizers.PATTERN, cluster=cluster), VOCABULARY)
+
+
 def operators(labels):
     return {
         "suffix": lambda d: suffix.remove_repeats(d),
         "media": lambda d: media.media_columns(d),
-        "packing": lambda d: packing.pack(d).filter("piece = 0"),
+        "packing": lambda d: packed(packing.with_clusters(d), "near_duplicate").filter("piece = 0"),
         "ordinal": lambda d: ordinal.grade(d, ordinal.learn_grades(d, ordinal.graded(labels))),
         "minhash": lambda d: minhash.near_duplicates(d, width=3, percent=85),
         "toxicity": lambda d: toxicity.toxicity(d, toxicity.learn_toxicity(d, labels)),
@@ -122,7 +129,7 @@ def test_language_without_letters_is_und(docs):
 
 def test_packing_keeps_copies_apart(spark):
     rows = [(i, "same text", "s") for i in range(20)] + [(100 + i, f"t{i} " * 30, "one") for i in range(12)]
-    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    found = packed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     copies = [(r["block"], r["bin"]) for r in found if r["doc_id"] < 100]
     assert len(set(copies)) == 20
     one = [(r["block"], r["bin"]) for r in found if r["doc_id"] >= 100]
