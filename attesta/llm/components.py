@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from attesta.llm.common import discard, durable
 
 #: A node is a hub if it has more than this many edges and more than one in HUBS of all; so there are at most 2 * HUBS hubs.
 HUB, HUBS = 1000, 1000
+#: Edges that a task connects in one step.
+CHUNK = 1 << 20
 
 
 def star(edges: DataFrame, large: bool, hub_from: int) -> DataFrame:
@@ -28,25 +34,60 @@ def star(edges: DataFrame, large: bool, hub_from: int) -> DataFrame:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b") if large else out.filter("a <> b").distinct()
+
+
+def forests(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with what each CHUNK of a partition's edges connects as stars around its smallest nodes; nothing moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            a, b = (np.concatenate([x.column(c).to_numpy() for x in held]) for c in "ab")
+            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            a, b = at[: len(a)], at[len(a) :]
+            label = np.arange(len(nodes))
+            while (label[a] != label[b]).any():
+                low = np.minimum(label[a], label[b])
+                for side in (label[a], label[b], a, b):
+                    np.minimum.at(label, side, low)
+                while (label != label[label]).any():
+                    label = label[label]
+            far = np.flatnonzero(label != np.arange(len(nodes)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["a", "b"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield stars(held)
+                held, n = [], 0
+        if n:
+            yield stars(held)
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
+def settled(edges: DataFrame) -> bool:
+    """Whether edges (a, b) are stars already: each a has one b, which is no a itself."""
+    seen = edges.select(F.col("a").alias("node"), F.lit(1).alias("leaf")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("leaf")))
+    each = seen.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("root"))
+    return each.filter("leaf > 1 or leaf = 1 and root = 0").isEmpty()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (a, b). No edges: no rows.
 
-    Self-loops and repeated edges don't matter; nulls are dropped. Each round is written to the shared folder, the one before it
-    is deleted there, and the rounds end when one changes nothing; a graph that needs more than `most_rounds` raises an error
-    rather than give wrong components.
+    Self-loops and repeated edges don't matter; nulls are dropped. Each task first makes stars of what its own edges connect.
+    Each round is written to the shared folder, the one before it is deleted there, and the rounds end when all edges are
+    stars; a graph that needs more than `most_rounds` raises an error rather than give wrong components.
     """
-    edges = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    sign = None
+    edges = durable(forests(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     for _ in range(most_rounds):
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == sign or not now[0]:
+        if settled(edges):
             break
-        sign = now
-        hub_from = max(HUB, now[0] // HUBS)
-        after = durable(star(star(edges, True, hub_from), False, hub_from))
+        hub_from = max(HUB, edges.count() // HUBS)
+        after = durable(forests(star(star(edges, True, hub_from), False, hub_from)))
         discard(edges)
         edges = after
     else:

@@ -25,6 +25,8 @@ from attesta.llm.common import LOWER, durable, mix, packed, slices, word_bounds,
 from attesta.llm.components import components
 
 SLOTS = 128
+#: Bits of a slot by which signatures are compared; keys are made of all 16.
+PLANES = 4
 #: Errors that a chunk may hold; pigeonhole then needs (errors of a signature + 1) / (CHUNK_ERRORS + 1) chunks.
 CHUNK_ERRORS = 1
 #: Chance, at most, that a pair right at the threshold differs in more slots than the bound.
@@ -143,8 +145,8 @@ def chunk_variants(sig: np.ndarray, errors: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def unpacked(sigs: pa.Array, kind=np.uint16) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs.to_pylist()), kind).reshape(-1, SLOTS)
+def unpacked(sigs: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs.to_pylist()), np.uint16).reshape(-1, SLOTS)
 
 
 def index_keys(reps: DataFrame, errors: int) -> DataFrame:
@@ -161,21 +163,32 @@ def index_keys(reps: DataFrame, errors: int) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
-def low_bytes(reps: DataFrame) -> DataFrame:
-    """rep, n and the low byte of each slot: two signatures differ in no more low bytes than slots, so no pair is lost by them."""
+def planes(sigs: np.ndarray) -> np.ndarray:
+    """The lowest PLANES bits of each slot as bit planes: signature by plane and word."""
+    bits = [np.packbits((sigs >> np.uint16(k)).astype(np.uint8) & 1, axis=1) for k in range(PLANES)]
+    return np.concatenate(bits, axis=1).view(np.uint64)
+
+
+def low_bits(reps: DataFrame) -> DataFrame:
+    """rep, n and the planes of its signature: two signatures differ there in no more slots than as a whole, so no pair is lost by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = [np.frombuffer(s, np.uint16).astype(np.uint8).tobytes() for s in batch.column("sig").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array(low, pa.binary())], names=["rep", "n", "low"])
+            low = planes(unpacked(batch.column("sig"))) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array([x.tobytes() for x in low], pa.binary())], names=["rep", "n", "low"])
 
     return reps.select("rep", "n", "sig").mapInArrow(run, "rep long, n long, low binary")
 
 
+def plane_rows(low: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(low.to_pylist()), np.uint64).reshape(-1, PLANES, SLOTS // 64)
+
+
 def near(low_a: np.ndarray, low_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, errors: int) -> np.ndarray:
-    """Whether signatures differ in `errors` slots at most, and sizes allow the similarity."""
+    """Whether planes differ in `errors` slots at most, and sizes allow the similarity."""
     fits = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    return fits & (np.count_nonzero(low_a != low_b, axis=1) <= errors)
+    differ = np.bitwise_or.reduce(low_a ^ low_b, axis=-2)
+    return fits & (np.bitwise_count(differ).sum(-1, dtype=np.int64) <= errors)
 
 
 def edge_batch(a: list | np.ndarray, b: list | np.ndarray) -> pa.RecordBatch:
@@ -188,7 +201,7 @@ def near_pairs(pairs: DataFrame, low: DataFrame, percent: int, errors: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n_a, n_b = (batch.column(c).to_numpy() for c in ("a", "b", "n_a", "n_b"))
-            ok = near(unpacked(batch.column("low_a"), np.uint8), unpacked(batch.column("low_b"), np.uint8), n_a, n_b, percent, errors)
+            ok = near(plane_rows(batch.column("low_a")), plane_rows(batch.column("low_b")), n_a, n_b, percent, errors)
             yield edge_batch(a[ok], b[ok])
 
     for side in "ab":
@@ -250,7 +263,7 @@ def near_edges(rows: DataFrame, percent: int, errors: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, names):
             rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
-            low = unpacked(table.column("low"), np.uint8)
+            low = plane_rows(table.column("low"))
             cuts = cuts_of(table, names)
             sizes = np.diff(cuts)
             pivot = np.repeat(cuts[:-1], sizes)
@@ -300,7 +313,7 @@ def near_across(tiles: DataFrame, percent: int, errors: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, names):
             rep, n, side, label = (table.column(c).to_numpy() for c in ("rep", "n", "side", "label"))
-            low = unpacked(table.column("low"), np.uint8)
+            low = plane_rows(table.column("low"))
             found = set()
             for a, b in zip(*(lambda c: (c[:-1], c[1:]))(cuts_of(table, names)), strict=True):
                 zero = np.flatnonzero(side[a:b] == 0) + a
@@ -358,13 +371,13 @@ def exact_links(tiles: DataFrame, names: list[str], percent: int) -> DataFrame:
 def candidate_families(reps: DataFrame, percent: int) -> DataFrame:
     """rep, family: the components of all pairs of classes whose signatures differ in error_bound() slots at most."""
     errors = error_bound(percent)
-    keys, low = index_keys(reps, errors), low_bytes(reps)
+    keys, low = index_keys(reps, errors), low_bits(reps)
     groups = durable(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("least"), F.max("rep").alias("most")).filter("c > 1"))
     pairs = groups.filter("c = 2 and least < most").select(F.col("least").alias("a"), F.col("most").alias("b")).distinct()
     crowds = groups.filter("c > 2").select("key", "least", "c", F.ceil(F.col("c") / CROWD).alias("blocks"))
     members = keys.join(crowds, "key")
     rows = in_blocks(members, "key", "blocks", "least").join(low, "rep").select("key", "block", "rep", "n", "low")
-    edges = near_pairs(pairs, low, percent, errors).unionByName(near_edges(rows, percent, errors)).distinct()
+    edges = near_pairs(pairs, low, percent, errors).unionByName(near_edges(rows, percent, errors))
     families = durable(components(edges).select(F.col("node").alias("rep"), F.col("component").alias("family")))
     if (groups.agg(F.max("c")).first()[0] or 0) > CROWD:
         hot = members.filter("blocks > 1").join(families, "rep", "left").select("key", "rep", F.coalesce("family", "rep").alias("label"), F.lit(0).alias("n"))
