@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.byte_bpe import read_ranks
+from attesta.llm.common import packed
 from attesta.llm.minhash import near_duplicates
 
-#: Tokens that a bin holds, and documents of one source that a bin holds at most.
-CAPACITY, PER_SOURCE = 2048, 4
+#: Tokens (bytes of text) that a bin holds, pieces of one source that a bin holds at most, and the token that closes a text.
+CAPACITY, PER_SOURCE, CLOSE = 8192, 4, 0xFF
 #: Documents, and bytes of text, that are packed together, about.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
 
@@ -71,11 +66,6 @@ class Bins:
         return b
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str, ranks: tuple) -> tiktoken.Encoding:
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
-
-
 def bits(values: np.ndarray, shared_only: bool) -> list[int]:
     """A bit for each different value, exactly: equal values have the same one. shared_only: 0 for values that occur once."""
     _, number, count = np.unique(values, return_inverse=True, return_counts=True)
@@ -84,20 +74,21 @@ def bits(values: np.ndarray, shared_only: bool) -> list[int]:
 
 
 PARTS = "array<struct<doc_id:long,piece:int,first:int,n:int,whole:long>>"
-BINS = f"block long, bin int, used int, tokens array<int>, parts {PARTS}"
-PART_TYPE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("whole", pa.int64())])
-BIN_SCHEMA = pa.schema([("block", pa.int64()), ("bin", pa.int32()), ("used", pa.int32()), ("tokens", pa.list_(pa.int32())), ("parts", pa.list_(PART_TYPE))])
+BINS = f"block long, bin int, used int, tokens binary, parts {PARTS}"
+PART_SCHEMA = [("doc_id", pa.int64()), ("piece", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("whole", pa.int64())]
 
 
-def pack(
-    docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", source: str = "source", cluster: str | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE
-) -> DataFrame:
+def offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", cluster: str | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
     """A row for each bin: block and bin, how many tokens are used, the tokens, and its parts: each a piece of a document by its first
     token in the bin and its number of tokens; `whole` is the document's number of tokens.
 
-    Texts are tokenised by the vocabulary at `path`, as the byte-level BPE operator does, and each ends with one closing
-    token, the first id beyond the vocabulary; so every text takes a token at least, null and empty ones too. A text longer than a bin is
-    cut into pieces that fill whole bins, and a rest. A bin has at most `per_source` pieces of a source, and no two of one
+    Tokens are the bytes of UTF-8 texts, and each text ends with the token CLOSE, a byte that UTF-8 never uses; so every text
+    takes a token at least, null and empty ones too. A text longer than a bin is cut into pieces that fill whole bins,
+    and a rest. A bin has at most `per_source` pieces of a source, and no two of one
     duplicate cluster: `cluster` is a column, or else equal texts are a cluster; rows with a null there are alone, but the
     pieces of one row count as a cluster too. Null sources are one source. Documents are dealt to blocks of about BLOCK by a hash of id and text, so
     that a source or cluster of any share spreads over all blocks; a block packs in order of size, then doc_id and
@@ -111,38 +102,38 @@ def pack(
         F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"), F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))).alias("s"),
         F.xxhash64(cluster_of).alias("c"), F.pmod(F.xxhash64(F.lit(29), F.col(key).cast("long"), F.col(text)), F.lit(blocks)).alias("block"),
     )
-    ranks = docs.sparkSession.sparkContext.broadcast(tuple(read_ranks(path).items()))  # bounded by the vocabulary
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        encode = tokenizer(path, pattern, ranks.value).encode_ordinary
-        close = len(ranks.value)
-        ids, s, c = (table.column(n).to_numpy() for n in ("doc_id", "s", "c"))
-        names = table.column("doc_id").to_pylist()
-        tokens = [np.array([*encode(t or ""), close], np.int32) for t in table.column("t").to_pylist()]
-        sizes = np.array([len(t) for t in tokens], np.int64)
+        table = table.combine_chunks()
+        texts = table.column("t").chunk(0) if table.num_rows else pa.array([], pa.string())
+        data, bounds = packed(texts)
+        s, c = (table.column(n).to_numpy() for n in ("s", "c"))
+        ids = table.column("doc_id")
+        number = ids.to_numpy()
+        sizes = np.diff(bounds) + 1
+        closed = np.insert(data, bounds[1:], CLOSE)
+        start = offsets(sizes)
         pieces = -(-sizes // capacity)
-        row = np.repeat(np.arange(len(ids)), pieces)
+        row = np.repeat(np.arange(len(number)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         n = np.minimum(sizes[row] - piece * capacity, capacity)
-        order = np.lexsort((piece, ids[row], -n))
+        order = np.lexsort((piece, number[row], -n))
         of_source, of_cluster = bits(s[row], False), bits(c[row], True)
         bins = Bins(capacity, per_source)
-        inside: list[list[int]] = []
+        place = np.zeros(len(row), np.int64)
         for i in order.tolist():
-            b = bins.put(int(n[i]), of_source[i], of_cluster[i])
-            if b == len(inside):
-                inside.append([])
-            inside[b].append(i)
-        joined, parts = [], []
-        for held in inside:
-            first, out = 0, []
-            for i in held:
-                out.append({"doc_id": names[row[i]], "piece": int(piece[i]), "first": first, "n": int(n[i]), "whole": int(sizes[row[i]])})
-                first += int(n[i])
-            parts.append(out)
-            joined.append(np.concatenate([tokens[row[i]][piece[i] * capacity : piece[i] * capacity + n[i]] for i in held]))
-        columns = [np.full(len(inside), key[0].as_py()), np.arange(len(inside), dtype=np.int32), np.array(bins.used, np.int32), joined, parts]
-        return pa.table([pa.array(x, f.type) for x, f in zip(columns, BIN_SCHEMA, strict=True)], schema=BIN_SCHEMA)
+            place[i] = bins.put(int(n[i]), of_source[i], of_cluster[i])
+        inside = order[np.argsort(place[order], kind="stable")]  # pieces by bin, in the order in which they came
+        size, begin = n[inside], start[row[inside]] + piece[inside] * capacity
+        joined = closed[np.repeat(begin - offsets(size)[:-1], size) + np.arange(size.sum())]
+        used = np.array(bins.used, np.int64)
+        content = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets(used).astype(np.int32)), pa.py_buffer(joined)])
+        first = offsets(size)[:-1] - offsets(used)[:-1][place[inside]]
+        fields = [ids.take(pa.array(row[inside])).combine_chunks(), piece[inside], first, size, sizes[row[inside]]]
+        fields = [f if isinstance(f, pa.Array) else f.chunk(0) if isinstance(f, pa.ChunkedArray) else pa.array(f, k) for f, (_, k) in zip(fields, PART_SCHEMA, strict=True)]
+        parts = pa.ListArray.from_arrays(pa.array(offsets(np.bincount(place, minlength=len(used))), pa.int32()), pa.StructArray.from_arrays(fields, names=[f for f, _ in PART_SCHEMA]))
+        columns = [pa.array(np.full(len(used), key[0].as_py())), pa.array(np.arange(len(used)), pa.int32()), pa.array(used, pa.int32()), content, parts]
+        return pa.table(columns, names=["block", "bin", "used", "tokens", "parts"])
 
     return rows.groupBy("block").applyInArrow(run, BINS)
 
@@ -150,33 +141,23 @@ def pack(
 PIECES = "doc_id long, piece int, n_tokens int, doc_tokens long, block long, bin int, bin_used int, n_bytes long, piece_sha256 string"
 
 
-def unpack(bins: DataFrame, path: str) -> DataFrame:
+def unpack(bins: DataFrame) -> DataFrame:
     """A row for each part of each bin, read back from its tokens: the size and digest of its bytes, without the closing token."""
-    ranks = bins.sparkSession.sparkContext.broadcast(read_ranks(path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [b""] * (len(ranks.value) + 1)
-        for p, r in ranks.value.items():
-            pieces[r] = p
-        look = pieces.__getitem__
-        for batch in batches:
-            out = []
-            for block, b, used, tokens, parts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                for p in parts:
-                    data = b"".join(map(look, tokens[p["first"] : p["first"] + p["n"]]))
-                    out.append((p["doc_id"], p["piece"], p["n"], p["whole"], block, b, used, len(data), hashlib.sha256(data).hexdigest()))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
-            names = [x.split()[0] for x in PIECES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)], names=names)
-
-    return bins.select("block", "bin", "used", "tokens", "parts").mapInArrow(run, PIECES)
+    part = bins.select("block", "bin", "used", "tokens", F.explode("parts").alias("p"))
+    back = F.substring(F.col("tokens"), F.col("p.first") + 1, F.col("p.n"))
+    closes = F.substring(back, F.col("p.n"), F.lit(1)) == F.lit(bytes([CLOSE]))
+    text = F.when(closes, F.substring(back, F.lit(1), F.col("p.n") - 1)).otherwise(back)
+    return part.select(
+        "p.doc_id", "p.piece", F.col("p.n").alias("n_tokens"), F.col("p.whole").alias("doc_tokens"), "block", "bin", F.col("used").alias("bin_used"),
+        F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("piece_sha256"),
+    )
 
 
 def with_clusters(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with near_duplicate: the component of near duplicates, of two or more documents, that a document is in, or null.
 
-    Rows with a null id have none."""
-    found = near_duplicates(docs, text, key)
-    several = found.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1 and component_id is not null")
-    some = found.join(several, "component_id").select(F.col("doc_id").alias("of_"), F.col("component_id").alias("near_duplicate")).dropDuplicates(["of_"])
+    Rows with a null id have none. The members of a component are those that aren't kept, and the one that is."""
+    others = near_duplicates(docs, text, key).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("of_"), F.col("component_id").alias("near_duplicate"))
+    roots = others.select(F.col("near_duplicate").alias("of_"), "near_duplicate")
+    some = others.unionByName(roots).distinct()
     return docs.join(some, F.col(key).cast("long") == F.col("of_"), "left").drop("of_")

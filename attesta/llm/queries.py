@@ -25,8 +25,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = packing.with_clusters(table(spark, sf_dir, "documents"))
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.unpack(packing.pack(docs, path, public_tokenizers.PATTERN, cluster="near_duplicate"), path)
+    return packing.unpack(packing.pack(docs, cluster="near_duplicate"))
 
 
 def op4_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,26 +171,18 @@ def test_quality_grades_rank_held_out_texts(spark, small):
     assert all(0 <= r["tail"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in found.values())
 
 
-def library():
-    from attesta.llm.byte_bpe import read_ranks
-
-    return tiktoken.Encoding("b", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
-
-
 def holds_all_texts(found, texts):
-    """Whether the pieces read back are the texts' tokens, cut at whole bins."""
-    lib = library()
+    """Whether the pieces read back are the texts' bytes, closed by one more token and cut at whole bins."""
     got = {}
     for r in found:
         got.setdefault(r["doc_id"], []).append(r)
     assert set(got) == set(texts)
     for k, pieces in got.items():
-        ids = [*lib.encode_ordinary(texts[k] or ""), 50256]
-        cut = [ids[i : i + 2048] for i in range(0, len(ids), 2048)]
+        tokens = (texts[k] or "").encode() + b"\xff"
+        cut = [tokens[i : i + 8192] for i in range(0, len(tokens), 8192)]
         pieces.sort(key=lambda r: r["piece"])
-        want = [(i, len(c), brute.sha(lib.decode_bytes([t for t in c if t != 50256]))) for i, c in enumerate(cut)]
-        assert [(r["piece"], r["n_tokens"], r["piece_sha256"]) for r in pieces] == want
-        assert all(r["doc_tokens"] == len(ids) for r in pieces)
+        assert [(r["piece"], r["n_tokens"], r["piece_sha256"]) for r in pieces] == [(i, len(c), brute.sha(c.rstrip(b"\xff"))) for i, c in enumerate(cut)]
+        assert all(r["doc_tokens"] == len(tokens) for r in pieces)
 
 
 def test_packing_matches_plain_best_fit(spark, small, docs):
@@ -201,13 +193,13 @@ def test_packing_matches_plain_best_fit(spark, small, docs):
     assert len(set(cluster.values())) < len(cluster)
     for block in {r["block"] for r in found}:
         mine = sorted((r for r in found if r["block"] == block), key=lambda r: (-r["n_tokens"], r["doc_id"], r["piece"]))
-        bins = brute.best_fit([(r["n_tokens"], source[r["doc_id"]], cluster[r["doc_id"]]) for r in mine], 2048, 4)
+        bins = brute.best_fit([(r["n_tokens"], source[r["doc_id"]], cluster[r["doc_id"]]) for r in mine], 8192, 4)
         assert bins == [r["bin"] for r in mine]
         used, held = {}, {}
         for r in mine:
             used[r["bin"]] = used.get(r["bin"], 0) + r["n_tokens"]
             held.setdefault(r["bin"], []).append(cluster[r["doc_id"]])
-        assert max(used.values()) <= 2048
+        assert max(used.values()) <= 8192
         assert all(r["bin_used"] == used[r["bin"]] for r in mine)
         assert all(len(set(c)) == len(c) for c in held.values())
 

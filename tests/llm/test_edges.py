@@ -38,11 +38,8 @@ def labels(spark):
     return spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
 
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
 def packed(d, cluster=None):
-    return packing.unpack(packing.pack(d, VOCABULARY, public_tokenizers.PATTERN, cluster=cluster), VOCABULARY)
+    return packing.unpack(packing.pack(d, cluster=cluster))
 
 
 def operators(labels):
