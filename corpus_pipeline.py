@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +46,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each piece of each text, read back from its bin. Near duplicates are gone by now, so equal texts are the clusters."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return pack.unpack(pack.pack(docs, path, public_tokenizers.PATTERN), path)
+    return pack.unpack(pack.pack(docs))
 
 
 STAGES: list[tuple[str, Callable]] = [
