@@ -15,7 +15,9 @@ def resolve(mentions: DataFrame, catalogue: DataFrame) -> DataFrame:
     keyed = catalogue.filter("place is not null and number is not null")
     one = lambda keys, tag: keyed.groupBy(*keys).agg(F.count("*").alias(f"{tag}_n"), F.min("norm_id").alias(f"{tag}_id"))
     official = catalogue.select(F.col("norm_id").alias("official_id"), F.lit(True).alias("known"))
-    out = mentions.join(official, "official_id", "left").join(one(["place", "number", "year"], "full"), ["place", "number", "year"], "left").join(one(["place", "number"], "part"), ["place", "number"], "left")
+    named = mentions.filter("official_id is not null").join(official, "official_id", "left")  # rows without an id would all meet in one task
+    unnamed = mentions.filter("official_id is null").withColumn("known", F.lit(None).cast("boolean"))
+    out = named.unionByName(unnamed).join(one(["place", "number", "year"], "full"), ["place", "number", "year"], "left").join(one(["place", "number"], "part"), ["place", "number"], "left")
     bare = F.col("year").isNull()
     outcome = (
         F.when(F.col("place").isNull(), "REFUSED").when(F.col("known"), "OFFICIAL").when(F.col("full_n") == 1, "FULL_KEY").when(F.col("full_n") > 1, "AMBIGUOUS")

@@ -47,9 +47,22 @@ def numbered(rows: DataFrame, order: list[str], cuts: int = 255) -> DataFrame:
     return ranged.withColumn("_within", within).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_within")).drop("_k", "_range", "_within", "_before")
 
 
-def percentile_disc(value: str, p: float) -> Column:
-    """The exact discrete percentile."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
+def ranked(rows: DataFrame, key: str, value: str, tie: str) -> DataFrame:
+    """key, value, i, n: the rows with a value by its rank from 0 within their key, and the key's count. Ties are told apart by `tie`.
+
+    Rows are numbered in ranges over all keys, so a key that holds most rows is shared by many tasks. Only the keys' counts meet in one
+    task, so keys are to be few, as event types are.
+    """
+    known = rows.filter(F.col(value).isNotNull()).select(key, value, tie)
+    counts = known.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
+    before = counts.withColumn("_before", F.sum("n").over(Window.orderBy("_key")) - F.col("n"))
+    placed = numbered(known, [key, value, tie]).join(before, F.col(key).eqNullSafe(F.col("_key")))
+    return placed.select(key, value, (F.col("place") - F.col("_before") - 1).alias("i"), "n")
+
+
+def discrete_rank(p: str) -> Column:
+    """The rank from 0, in a group of n, of the exact discrete percentile: the first that at least the share p doesn't exceed."""
+    return F.greatest(F.ceil(F.lit(p).cast("decimal(6,4)") * F.col("n")) - 1, F.lit(0))
 
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,3 +77,15 @@ def severity_rank(column: str, order: tuple[str, ...]) -> Column:
     for i, s in reversed(list(enumerate(order))):
         rank = F.when(F.col(column) == s, i).otherwise(rank)
     return rank
+
+
+def conciliation(rows: DataFrame, key: str, content: Column, accepted: Column, rejected: Column) -> DataFrame:
+    """key, read, fresh, repeated, rejected, balanced: what a load of rows did with them.
+
+    Of equal accepted contents one row is fresh and the others are repeated. A row that is neither accepted nor rejected (both unknown), or
+    both, makes its key unbalanced. Equal contents are counted before they meet, so a common one is a row a task.
+    """
+    yes = F.count_if(F.coalesce(accepted, F.lit(False)))
+    each = rows.withColumn("_content", content).groupBy(key, "_content").agg(F.count("*").alias("n"), yes.alias("a"), F.count_if(F.coalesce(rejected, F.lit(False))).alias("r"))
+    sums = each.groupBy(key).agg(F.sum("n").alias("read"), F.count_if(F.col("a") > 0).alias("fresh"), F.sum(F.greatest(F.col("a") - 1, F.lit(0))).alias("repeated"), F.sum("r").alias("rejected"))
+    return sums.withColumn("balanced", F.col("read") == F.col("fresh") + F.col("repeated") + F.col("rejected"))

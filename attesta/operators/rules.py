@@ -53,17 +53,21 @@ def deadline(rows: DataFrame, start: str, n: Column, calendar: DataFrame, day: s
 
 
 def unit_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """key, place, change between two versions' units (key, place, unit).
+    """key, place, change between two versions' units (key, place, unit), whose places are unique within a key.
 
-    Equal units pair by their turn among equals: SAME in the same place, else MOVED (reported at the new place); what is left in the same
-    place on both sides is MODIFIED; the rest is REMOVED or ADDED. Nothing is compared beyond its own key.
+    Units that stayed in place are SAME and settled first. Of the rest, equal units pair by their turn among equals and are MOVED (reported
+    at the new place); what is left in the same place on both sides is MODIFIED; what then remains is REMOVED or ADDED. Nothing is compared
+    beyond its own key, and every step is an aggregation, so null keys and units meet like any others.
     """
-    w = Window.partitionBy(*key, "unit").orderBy("place")
-    a = old.select(*key, "unit", F.row_number().over(w).alias("turn"), F.col("place").alias("was"))
-    b = new.select(*key, "unit", F.row_number().over(w).alias("turn"), F.col("place").alias("now"))
-    paired = a.join(b, [*key, "unit", "turn"], "full")
-    settled = paired.filter("was is not null and now is not null").select(*key, F.col("now").alias("place"), F.when(F.col("was") == F.col("now"), "SAME").otherwise("MOVED").alias("change"))
+    sides = old.select(*key, "place", "unit", F.lit(True).alias("old")).unionByName(new.select(*key, "place", "unit", F.lit(False).alias("old")))
+    had, has = F.bool_or("old"), F.bool_or(~F.col("old"))
+    placed = sides.groupBy(*key, "place", "unit").agg(had.alias("had"), has.alias("has"))
+    same = placed.filter("had and has").select(*key, "place", F.lit("SAME").alias("change"))
+    turn = F.row_number().over(Window.partitionBy(*key, "unit", "had").orderBy("place"))
+    apart = placed.filter("not (had and has)").withColumn("turn", turn)
+    was, now = F.min(F.when(F.col("had"), F.col("place"))), F.min(F.when(F.col("has"), F.col("place")))
+    paired = apart.groupBy(*key, "unit", "turn").agg(was.alias("was"), now.alias("now"))
+    moved = paired.filter("was is not null and now is not null").select(*key, F.col("now").alias("place"), F.lit("MOVED").alias("change"))
     rest = paired.filter("was is null or now is null").select(*key, F.coalesce("was", "now").alias("place"), F.col("was").isNotNull().alias("old"))
-    left = rest.groupBy(*key, "place").agg(F.bool_or("old").alias("o"), F.bool_or(~F.col("old")).alias("n"))
-    change = F.when(F.col("o") & F.col("n"), "MODIFIED").when(F.col("o"), "REMOVED").otherwise("ADDED")
-    return settled.unionByName(left.select(*key, "place", change.alias("change")))
+    change = F.when(had & has, "MODIFIED").when(had, "REMOVED").otherwise("ADDED")
+    return same.unionByName(moved).unionByName(rest.groupBy(*key, "place").agg(change.alias("change")))

@@ -67,9 +67,11 @@ def business_deadline(spark, sf_dir):
 
 UNITS_SQL = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents WHERE text IS NOT NULL),
 old AS (SELECT doc_id, place, unit FROM lines), new AS (SELECT doc_id - 1 AS doc_id, place, unit FROM lines WHERE doc_id - 1 IN (SELECT doc_id FROM documents)),
-a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY place) AS turn FROM old WHERE doc_id + 1 IN (SELECT doc_id FROM documents)), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY place) AS turn FROM new),
+kept AS (SELECT * FROM old WHERE doc_id + 1 IN (SELECT doc_id FROM documents)), stayed AS (SELECT doc_id, place, unit FROM kept INTERSECT SELECT doc_id, place, unit FROM new),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY place) AS turn FROM kept ANTI JOIN stayed USING (doc_id, place, unit)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY place) AS turn FROM new ANTI JOIN stayed USING (doc_id, place, unit)),
 p AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.place AS was, b.place AS now FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.unit = b.unit AND a.turn = b.turn),
-d AS (SELECT doc_id, now AS place, CASE WHEN was = now THEN 'SAME' ELSE 'MOVED' END AS change FROM p WHERE was IS NOT NULL AND now IS NOT NULL
+d AS (SELECT doc_id, place, 'SAME' AS change FROM stayed UNION ALL SELECT doc_id, now, 'MOVED' FROM p WHERE was IS NOT NULL AND now IS NOT NULL
   UNION ALL SELECT doc_id, place, CASE WHEN bool_or(o) AND bool_or(NOT o) THEN 'MODIFIED' WHEN bool_or(o) THEN 'REMOVED' ELSE 'ADDED' END FROM (SELECT doc_id, coalesce(was, now) AS place, was IS NOT NULL AS o FROM p WHERE was IS NULL OR now IS NULL) GROUP BY doc_id, place)"""
 
 

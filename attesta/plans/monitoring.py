@@ -71,6 +71,15 @@ def stream_daily(spark, sf_dir):
     return counts.select("event_type", F.col("starts").cast("timestamp_ntz").alias("starts"), "n", F.round("total", 4).alias("total"))
 
 
+@query("stream_sessions", """WITH x AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, true)::INT AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+y AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS turn FROM x), z AS (SELECT user_id, turn, min(ts) AS starts, max(ts) + INTERVAL 30 MINUTE AS ends, count(*) AS n FROM y GROUP BY ALL)
+SELECT user_id, starts::TIMESTAMP AS starts, ends::TIMESTAMP AS ends, n FROM z WHERE ends <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_sessions(spark, sf_dir):
+    """Sessions that the watermark has closed, each sent once; those still open when the stream ends stay in its state."""
+    closed = stream.drain(stream.sessions(stream.read(spark, f"{sf_dir}/events.parquet"), "30 minutes", "1 hour"), "append")
+    return closed.select("user_id", F.col("starts").cast("timestamp_ntz").alias("starts"), F.col("ends").cast("timestamp_ntz").alias("ends"), "n")
+
+
 @query("stream_outbox", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY ALL")
 def stream_outbox(spark, sf_dir):
     """Every event reaches the sink once by its idempotency key."""

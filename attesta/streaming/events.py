@@ -36,8 +36,11 @@ def sessions(events: DataFrame, idle: str, late: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-streams-')}"
+    """The folder that driver and executors share. Where none is set, a local session gets one of this machine; a cluster raises an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found or f"file://{tempfile.mkdtemp(prefix='spark-streams-')}"
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Relational queries on small fixtures that the driver's smallest tables are too small for."""
 
+from pyspark.sql import functions as F
+
 from attesta.operators import relational as r
 from attesta.plans import relational
 
@@ -19,3 +21,23 @@ def test_places_of_equal_names_nulls_few_and_no_rows(spark):
         assert [x.id for x in sorted(r.numbered(rows, ["name", "id"], cuts).collect(), key=lambda x: x.place)] == want
     assert [x.place for x in r.numbered(rows.filter("id = 3"), ["name", "id"]).collect()] == [1]
     assert r.numbered(rows.filter("id < 0"), ["name", "id"]).count() == 0
+
+
+def test_ranks_within_keys_of_ties_nulls_and_a_hot_key(spark):
+    rows = [(i, "hot" if i % 10 else None if i % 20 else "rare", None if i % 13 == 0 else float(i % 7)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, k string, v double")
+    got = sorted((str(x.k), x.i, x.v, x.n) for x in r.ranked(df, "k", "v", "id").collect())
+    want = []
+    for k in ("hot", "rare", None):
+        held = sorted(v for _, key, v in rows if key == k and v is not None)
+        want += [(str(k), i, v, len(held)) for i, v in enumerate(held)]
+    assert got == sorted(want)
+    assert r.ranked(df.filter("id < 0"), "k", "v", "id").count() == 0
+
+
+def test_conciliation_shows_rows_that_nothing_accounts_for(spark):
+    rows = [("a", "x", 30), ("a", "x", 30), ("a", "y", 30), ("a", "z", 5), ("b", "x", 30), ("b", "w", None), (None, "v", 30)]
+    df = spark.createDataFrame(rows, "source string, text string, n_chars long")
+    got = r.conciliation(df, "source", F.col("text"), F.col("n_chars") >= 20, F.col("n_chars") < 20)
+    found = {x.source: (x.read, x.fresh, x.repeated, x.rejected, x.balanced) for x in got.collect()}
+    assert found == {"a": (4, 2, 1, 1, True), "b": (2, 1, 0, 0, False), None: (1, 1, 0, 0, True)}
