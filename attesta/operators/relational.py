@@ -72,6 +72,22 @@ def difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return both.filter("l is null or r is null").select(*keys, F.when(F.col("l").isNull(), "RIGHT").otherwise("LEFT").alias("side"))
 
 
+def digests(rows: DataFrame, key: str, id_: str, span: int = 4096) -> DataFrame:
+    """key, n, digest: the count and one SHA-256 of each key's set of whole-number ids, the same for equal sets only.
+
+    Ids are hashed in ranges: the sorted ids of a span as "[1,2,3]", then the digests of a span of such ranges in the same way, then those of
+    the key. So no task holds more than `span` ids or digests, but for the last, which holds a digest for each span * span ids.
+    """
+    listed = lambda column: F.sha2(F.concat(F.lit("["), F.array_join(column, ","), F.lit("]")), 256)
+    ids = rows.select(key, F.col(id_).cast("long").alias("i")).filter("i is not null")
+    ids = ids.groupBy(key, F.floor(F.col("i") / span).alias("a")).agg(F.array_sort(F.collect_set("i")).alias("ids"))
+    level = ids.select(key, "a", F.size("ids").cast("long").alias("n"), listed(F.col("ids").cast("array<string>")).alias("digest"))
+    for up in (F.floor(F.col("a") / span), F.lit(0)):
+        inner = F.array_sort(F.collect_list(F.struct("a", "digest")))
+        level = level.groupBy(key, up.alias("up")).agg(F.sum("n").alias("n"), inner.alias("inner")).select(key, F.col("up").alias("a"), "n", listed(F.col("inner.digest")).alias("digest"))
+    return level.drop("a")
+
+
 def severity_rank(column: str, order: tuple[str, ...]) -> Column:
     rank = F.lit(len(order))
     for i, s in reversed(list(enumerate(order))):

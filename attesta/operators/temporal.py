@@ -29,14 +29,20 @@ def grave_open(incidents: DataFrame) -> DataFrame:
     return incidents.filter(F.col("severity").isin(*GRAVE) & F.col("state").isin(*UNSETTLED)).select("version_id").distinct()
 
 
-def with_reasons(versions: DataFrame, releases: DataFrame, incidents: DataFrame, valid_on: Column, known_on: Column, capabilities: tuple[str, ...]) -> DataFrame:
+def with_reasons(versions: DataFrame, releases: DataFrame, incidents: DataFrame, evaluations: DataFrame, valid_on: Column, known_on: Column, critical: dict[str, tuple[str, ...]]) -> DataFrame:
     """versions plus `reasons`, all the reasons in order why each can't be served; none means it can.
 
-    The release and incident sides are summed to a row per key before they are joined, so neither multiplies rows.
+    `critical` names the critical fields of each declared capability. After the other reasons come those of its critical fields that
+    `evaluations` (version_id, field, state) has in a state other than INFORMED, then those of its fields without an evaluation. Of
+    several evaluations of a field the last state by name counts. The release, incident and evaluation sides are summed to a row per key
+    before they are joined, so none multiplies rows.
     """
+    fields = F.create_map(*(x for c, names in critical.items() for x in (F.lit(c), F.array(*map(F.lit, names)).cast("array<string>"))))[F.col("capability")]
+    one = evaluations.filter(F.col("field").isin(*{f for names in critical.values() for f in names})).groupBy("version_id", "field").agg(F.max("state").alias("state"))
+    told = one.groupBy("version_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "state"))).alias("told"))
     published = releases.filter("state = 'PUBLISHED'").select("release_no", F.lit(True).alias("released"))
     blocked = grave_open(incidents).withColumn("blocked", F.lit(True))
-    joined = versions.join(published, "release_no", "left").join(blocked, "version_id", "left")
+    joined = versions.join(published, "release_no", "left").join(blocked, "version_id", "left").join(told, "version_id", "left")
     cases = [
         (F.col("review_state") != "PUBLISHED", "NOT_PUBLISHED"),
         (F.col("released").isNull(), "NO_PUBLISHED_RELEASE"),
@@ -46,10 +52,14 @@ def with_reasons(versions: DataFrame, releases: DataFrame, incidents: DataFrame,
         (F.col("verified_on").isNull(), "NOT_VERIFIED"),
         (F.col("verified_on").isNotNull() & (F.col("reverify_on") <= known_on), "STALE"),
         (F.col("blocked").isNotNull(), "GRAVE_INCIDENT"),
-        (~F.col("capability").isin(*capabilities), "UNDECLARED_CAPABILITY"),
+        (~F.col("capability").isin(*critical), "UNDECLARED_CAPABILITY"),
     ]
     reasons = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), name) for c, name in cases)), lambda r: r.isNotNull())
-    return joined.withColumn("reasons", reasons).drop("released", "blocked")
+    state = lambda f: F.try_element_at("told", f)
+    uninformed = F.transform(F.filter(fields, lambda f: state(f) != "INFORMED"), lambda f: F.concat(F.lit("FIELD_"), f, F.lit("_"), state(f)))
+    unevaluated = F.transform(F.filter(fields, lambda f: state(f).isNull()), lambda f: F.concat(F.lit("FIELD_"), f, F.lit("_NOT_EVALUATED")))
+    none = F.array().cast("array<string>")
+    return joined.withColumn("reasons", F.concat(reasons, F.coalesce(uninformed, none), F.coalesce(unevaluated, none))).drop("released", "blocked", "told")
 
 
 def periods(rows: DataFrame, key: str, day: str, value: str) -> DataFrame:

@@ -226,10 +226,13 @@ def distinct_on(spark, sf_dir):
     return r.top_row(table(spark, sf_dir, "customer"), ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")]).select("c_nationkey", "c_custkey", "c_name")
 
 
-@query("manifest_hash", f"WITH {VERSIONS_SQL} SELECT release_no, count(*) AS n, sha256('[' || string_agg(version_id::VARCHAR, ',' ORDER BY version_id) || ']') AS manifest FROM versions WHERE review_state = 'PUBLISHED' GROUP BY release_no")
+@query("manifest_hash", f"""WITH {VERSIONS_SQL},
+a AS (SELECT release_no, version_id // 4096 AS block, count(*) AS n, sha256('[' || string_agg(version_id::VARCHAR, ',' ORDER BY version_id) || ']') AS h FROM versions WHERE review_state = 'PUBLISHED' GROUP BY ALL),
+b AS (SELECT release_no, block // 4096 AS upper_block, sum(n) AS n, sha256('[' || string_agg(h, ',' ORDER BY block) || ']') AS h FROM a GROUP BY ALL)
+SELECT release_no, sum(n)::BIGINT AS n, sha256('[' || string_agg(h, ',' ORDER BY upper_block) || ']') AS manifest FROM b GROUP BY release_no""")
 def manifest_hash(spark, sf_dir):
-    ids = F.array_join(F.array_sort(F.collect_list("version_id")).cast("array<string>"), ",")
-    return versions(spark, sf_dir).filter("review_state = 'PUBLISHED'").groupBy("release_no").agg(F.count("*").alias("n"), F.sha2(F.concat(F.lit("["), ids, F.lit("]")), 256).alias("manifest"))
+    members = versions(spark, sf_dir).filter("review_state = 'PUBLISHED'")
+    return r.digests(members, "release_no", "version_id").withColumnRenamed("digest", "manifest")
 
 
 @query("conciliation", """WITH t AS (SELECT source, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS turn FROM documents WHERE n_chars >= 20),

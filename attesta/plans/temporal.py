@@ -7,16 +7,19 @@ from pyspark.sql.window import Window
 
 from attesta.operators import temporal as t
 from attesta.plans.registry import query
-from attesta.sources.tables import INCIDENTS_SQL, RELEASES_SQL, VERSIONS_SQL, incidents, releases, table, versions
+from attesta.sources.tables import EVALUATIONS_SQL, INCIDENTS_SQL, RELEASES_SQL, VERSIONS_SQL, evaluations, incidents, releases, table, versions
 
-DAY, KNOWN, CAPABILITIES = "1998-06-30", "1999-03-01", ("1", "2", "3", "4")
+DAY, KNOWN = "1998-06-30", "1999-03-01"
+#: The critical fields of each declared capability.
+CRITICAL = {"1": ("population", "terms"), "2": ("terms",), "3": ("amount",), "4": ()}
+CRITICAL_SQL = "critical(capability, field) AS (VALUES " + ", ".join(f"('{c}', '{f}')" for c, names in CRITICAL.items() for f in names) + ")"
 
 
 def day(text: str):
     return F.lit(text).cast("date")
 
 
-REASONS_SQL = f"""WITH {VERSIONS_SQL}, {RELEASES_SQL}, {INCIDENTS_SQL}, grave AS (
+REASONS_SQL = f"""WITH {VERSIONS_SQL}, {RELEASES_SQL}, {INCIDENTS_SQL}, {EVALUATIONS_SQL}, {CRITICAL_SQL}, grave AS (
   SELECT DISTINCT version_id FROM incidents WHERE severity IN ('HIGH', 'CRITICAL') AND state IN ('OPEN', 'IN_REVIEW')),
 judged AS (
   SELECT v.*, r.release_no IS NOT NULL AS released, g.version_id IS NOT NULL AS blocked, valid_kind NOT IN ('UNKNOWN', 'CONDITIONAL') AS resolved
@@ -30,11 +33,13 @@ reasons AS (
   UNION ALL SELECT version_id, 'NOT_VERIFIED' FROM judged WHERE verified_on IS NULL
   UNION ALL SELECT version_id, 'STALE' FROM judged WHERE verified_on IS NOT NULL AND reverify_on <= DATE '{KNOWN}'
   UNION ALL SELECT version_id, 'GRAVE_INCIDENT' FROM judged WHERE blocked
-  UNION ALL SELECT version_id, 'UNDECLARED_CAPABILITY' FROM judged WHERE capability NOT IN ('1', '2', '3', '4'))"""
+  UNION ALL SELECT version_id, 'UNDECLARED_CAPABILITY' FROM judged WHERE capability NOT IN ('1', '2', '3', '4')
+  UNION ALL SELECT version_id, 'FIELD_' || field || '_' || state FROM judged JOIN critical USING (capability) JOIN evaluations USING (version_id, field) WHERE state <> 'INFORMED'
+  UNION ALL SELECT version_id, 'FIELD_' || field || '_NOT_EVALUATED' FROM judged JOIN critical USING (capability) ANTI JOIN evaluations USING (version_id, field))"""
 
 
 def judged(spark, sf_dir):
-    return t.with_reasons(versions(spark, sf_dir), releases(spark, sf_dir), incidents(spark, sf_dir), day(DAY), day(KNOWN), CAPABILITIES)
+    return t.with_reasons(versions(spark, sf_dir), releases(spark, sf_dir), incidents(spark, sf_dir), evaluations(spark, sf_dir), day(DAY), day(KNOWN), CRITICAL)
 
 
 @query("temporal_serving", REASONS_SQL + " SELECT entity_id, version_id, version_no, valid_from::VARCHAR AS valid_from FROM judged j WHERE NOT EXISTS (SELECT 1 FROM reasons r WHERE r.version_id = j.version_id)")

@@ -67,6 +67,19 @@ RELEASES_SQL = """releases AS (
          make_date(year(o_orderdate) + 1, 1, 15) AS published_on FROM orders)"""
 
 
+def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was found out on fields of versions: version_id, field, state. Each of the first line items is an evaluation of one field."""
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
+    field = F.when(F.col("l_linenumber") == 1, "population").when(F.col("l_linenumber") == 2, "terms").otherwise("amount")
+    return li.select(F.col("l_orderkey").alias("version_id"), field.alias("field"), F.when(F.col("l_returnflag") == "R", "NOT_INFORMED").otherwise("INFORMED").alias("state"))
+
+
+EVALUATIONS_SQL = """evaluations AS (
+  SELECT l_orderkey AS version_id, CASE l_linenumber WHEN 1 THEN 'population' WHEN 2 THEN 'terms' ELSE 'amount' END AS field,
+         max(CASE WHEN l_returnflag = 'R' THEN 'NOT_INFORMED' ELSE 'INFORMED' END) AS state
+  FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2)"""
+
+
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents on versions: large returns. version_id, severity, state."""
     li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' and l_quantity >= 48")
