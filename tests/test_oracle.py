@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from attesta.plans import domain, monitoring, registry, relational, retrieval, rule_sets, scalars, temporal, text  # noqa: F401
+from attesta.plans import acts, domain, monitoring, registry, relational, retrieval, rule_sets, scalars, temporal, text  # noqa: F401
 
 
 def plain(rows, names):
