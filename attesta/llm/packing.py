@@ -11,7 +11,7 @@ from attesta.llm.common import packed
 from attesta.llm.minhash import near_duplicates
 
 #: Tokens (bytes of text) that a bin holds, pieces of one source that a bin holds at most, and the token that closes a text.
-CAPACITY, PER_SOURCE, CLOSE = 8192, 4, 0xFF
+CAPACITY, PER_SOURCE, CLOSING = 8192, 4, b"\xff"
 #: Documents, and bytes of text, that are packed together, about.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
 
@@ -86,7 +86,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     """A row for each bin: block and bin, how many tokens are used, the tokens, and its parts: each a piece of a document by its first
     token in the bin and its number of tokens; `whole` is the document's number of tokens.
 
-    Tokens are the bytes of UTF-8 texts, and each text ends with the token CLOSE, a byte that UTF-8 never uses; so every text
+    Tokens are the bytes of UTF-8 texts, and each text ends with the token CLOSING, a byte that UTF-8 never uses; so every text
     takes a token at least, null and empty ones too. A text longer than a bin is cut into pieces that fill whole bins,
     and a rest. A bin has at most `per_source` pieces of a source, and no two of one
     duplicate cluster: `cluster` is a column, or else equal texts are a cluster; rows with a null there are alone, but the
@@ -111,8 +111,6 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
         ids = table.column("doc_id")
         number = ids.to_numpy()
         sizes = np.diff(bounds) + 1
-        closed = np.insert(data, bounds[1:], CLOSE)
-        start = offsets(sizes)
         pieces = -(-sizes // capacity)
         row = np.repeat(np.arange(len(number)), pieces)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -124,10 +122,16 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
         for i in order.tolist():
             place[i] = bins.put(int(n[i]), of_source[i], of_cluster[i])
         inside = order[np.argsort(place[order], kind="stable")]  # pieces by bin, in the order in which they came
-        size, begin = n[inside], start[row[inside]] + piece[inside] * capacity
-        joined = closed[np.repeat(begin - offsets(size)[:-1], size) + np.arange(size.sum())]
+        size, skipped = n[inside], piece[inside] * capacity
+        begin = bounds[:-1][row[inside]] + skipped
+        closes = skipped + size == sizes[row[inside]]
+        view, runs = memoryview(data), []
+        for at, upto, last in zip(begin.tolist(), (begin + size - closes).tolist(), closes.tolist(), strict=True):
+            runs.append(view[at:upto])
+            if last:
+                runs.append(CLOSING)
         used = np.array(bins.used, np.int64)
-        content = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets(used).astype(np.int32)), pa.py_buffer(joined)])
+        content = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets(used).astype(np.int32)), pa.py_buffer(b"".join(runs))])
         first = offsets(size)[:-1] - offsets(used)[:-1][place[inside]]
         fields = [ids.take(pa.array(row[inside])).combine_chunks(), piece[inside], first, size, sizes[row[inside]]]
         fields = [f if isinstance(f, pa.Array) else f.chunk(0) if isinstance(f, pa.ChunkedArray) else pa.array(f, k) for f, (_, k) in zip(fields, PART_SCHEMA, strict=True)]
@@ -143,10 +147,10 @@ PIECES = "doc_id long, piece int, n_tokens int, doc_tokens long, block long, bin
 
 def unpack(bins: DataFrame) -> DataFrame:
     """A row for each part of each bin, read back from its tokens: the size and digest of its bytes, without the closing token."""
-    part = bins.select("block", "bin", "used", "tokens", F.explode("parts").alias("p"))
-    back = F.substring(F.col("tokens"), F.col("p.first") + 1, F.col("p.n"))
-    closes = F.substring(back, F.col("p.n"), F.lit(1)) == F.lit(bytes([CLOSE]))
-    text = F.when(closes, F.substring(back, F.lit(1), F.col("p.n") - 1)).otherwise(back)
+    cut = F.transform("parts", lambda p: F.struct(p.alias("p"), F.substring(F.col("tokens"), p["first"] + 1, p["n"]).alias("back")))
+    part = bins.select("block", "bin", "used", F.inline(cut))  # a part carries its own tokens only
+    closes = F.substring("back", F.col("p.n"), F.lit(1)) == F.lit(CLOSING)
+    text = F.when(closes, F.substring("back", F.lit(1), F.col("p.n") - 1)).otherwise(F.col("back"))
     return part.select(
         "p.doc_id", "p.piece", F.col("p.n").alias("n_tokens"), F.col("p.whole").alias("doc_tokens"), "block", "bin", F.col("used").alias("bin_used"),
         F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("piece_sha256"),
