@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attesta.llm import byte_bpe, chat, language, media, minhash, ordinal, packing, quality_rules, suffix, toxicity
+from attesta.llm import audit, byte_bpe, chat, language, media, merkle, minhash, mixing, ordinal, packing, quality_rules, sql, suffix, toxicity
 from attesta.llm.common import crc_mod
 
 
@@ -66,9 +67,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("host")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", mixing.taken(F.col("pieces")).alias("taken"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.replay(audit.flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = F.when(crc_mod("doc_id", 2) == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=stripped)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array, op2_media, op3_packing, op4_ordinal, op5_chat, op6_minhash, op7_toxicity, op8_byte_bpe, op9_language, op10_quality_rules)}
+    found = (
+        op1_suffix_array, op2_media, op3_packing, op4_ordinal, op5_chat, op6_minhash, op7_toxicity, op8_byte_bpe, op9_language, op10_quality_rules,
+        op11_mixing, op12_filter_audit, op13_merkle,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_filter_audit": sql.filter_audit_sql(), "op13_merkle": sql.merkle_sql()}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -184,3 +186,110 @@ def worst_windows(text: str, table, bias: float, decay: float = 0.6) -> list[flo
     sums = [min(3, max(-2, sum(place[i : i + 12]) + bias)) for i in range(len(place))]
     best = sorted((max(sums[i : i + 32]) for i in range(0, len(sums), 32)), reverse=True)[:3]
     return best + [-2.0] * (3 - len(best))
+
+
+def targets(sizes):
+    """Targets by source from {source: size}: weights in code-point order, null last; full sources are held and the rest shared anew."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    want, full = 1.5 * sum(sizes.values()), set()
+    while True:
+        rest = [s for s in order if s not in full]
+        if not rest:
+            return {s: 2.0 * sizes[s] for s in order}
+        level = (want - sum(2 * sizes[s] for s in full)) / sum(weight[s] for s in rest)
+        more = {s for s in rest if weight[s] * level >= 2 * sizes[s]}
+        if not more:
+            return {s: 2.0 * sizes[s] if s in full else weight[s] * level for s in order}
+        full |= more
+
+
+def highest_quotients(votes, seats):
+    """Seats one by one to the highest votes / (2 * seats held + 1); ties to the smaller key."""
+    held = dict.fromkeys(votes, 0)
+    for _ in range(seats):
+        held[min(votes, key=lambda k: (-votes[k] / (held[k] + 0.5), k))] += 1
+    return held
+
+
+def audit(docs, labels):
+    """Filters applied one after the other, for each of 120 orders. docs: (doc_id, text, source); labels: (doc_id, quality, toxic)."""
+    good = {k for k, q, _ in labels if q == 1 and k is not None}
+    toxic = {k for k, _, t in labels if t == 1 and k is not None}
+    ids = {}
+    for k, text, _ in docs:
+        ids.setdefault(text or "", []).append(k)
+
+    def fails(k, text):
+        text = text or ""
+        words = WORD.findall(text)
+        return {
+            "A": len(words) < 50,
+            "B": 100 * len(set(words)) < 65 * len(words),
+            "C": 100 * sum("A" <= c <= "Z" for c in text) > 5 * len(text),
+            "D": any(c in "#$%&*|" for c in text),
+            "E": k is not None and any(i is not None and i < k for i in ids[text]),
+        }
+
+    parts = {}
+    for k, text, source in docs:
+        parts.setdefault(source or "", []).append((k, fails(k, text)))
+    out = {}
+    for part, rows in parts.items():
+        total = dict.fromkeys("ABCDE", 0)
+        for order in itertools.permutations("ABCDE"):
+            left = rows
+            for step, f in enumerate(order, 1):
+                gone = [r for r in left if r[1][f]]
+                redundant = sum(r[1][f] for r in rows) - len(gone)
+                left = [r for r in left if not r[1][f]]
+                unique = sum(r[1][f] and sum(r[1].values()) == 1 for r in rows)
+                out[part, "".join(order), step] = [len(left), len(gone), redundant, unique, sum(r[0] in good for r in gone), sum(r[0] in toxic for r in gone)]
+                total[f] += len(gone)
+        for (p, order, step), counts in out.items():
+            if p == part:
+                counts.append(total[order[step - 1]])
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def merkle(docs):
+    """doc: (leaf, subroot, root, proof, folded, verified) by definition. docs: (doc_id, text, lang, source, n_chars), ids unique or null once a source."""
+    def field(v):
+        return "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def leaf(k, text, lang, source, n):
+        return sha("".join(map(field, (k, source, lang, n, text))).encode())
+
+    def tree(nodes):
+        """The root, and for each leaf its list of (left siblings, right siblings)."""
+        steps, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            runs = [nodes[i : i + 3] for i in range(0, len(nodes), 3)]
+            for i, path in enumerate(steps):
+                run, j = runs[at[i] // 3], at[i] % 3
+                path.append((run[:j], run[j + 1 :]))
+                at[i] //= 3
+            nodes = [sha("".join(r).encode()) for r in runs]
+        return nodes[0], steps
+
+    sources = {}
+    for d in docs:
+        sources.setdefault(d[3], []).append(d)
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in order:
+        trees[s] = sorted(sources[s], key=lambda d: (d[0] is not None, d[0] or 0))
+    built = {s: tree([leaf(*d) for d in rows]) for s, rows in trees.items()}
+    root, upper = tree([built[s][0] for s in order])
+    out = {}
+    for s, above in zip(order, upper, strict=True):
+        subroot, steps = built[s]
+        for d, path in zip(trees[s], steps, strict=True):
+            k, text, lang, source, n = d
+            path = path + above
+            changed = text.replace("\n", "") if text is not None and k is not None and zlib.crc32(str(k).encode()) % 2 == 0 else text
+            folded = leaf(k, changed, lang, source, n)
+            for before, after in path:
+                folded = sha("".join([*before, folded, *after]).encode())
+            out[k, s] = (leaf(*d), subroot, root, sha("".join(x for b, a in path for x in (*b, *a)).encode()), folded, folded == root)
+    return out

@@ -236,3 +236,18 @@ def test_equal_texts_give_equal_media(spark):
     a, b = media_columns(spark.createDataFrame([(1, "same"), (2, "same")], "doc_id long, text string")).drop("doc_id").collect()
     assert a == b
     assert a["n_bytes"] == 4 and a["payload_bytes"] == 192 and hashlib.sha256(b"same".ljust(192)).hexdigest() == a["payload_sha256"]
+
+
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+def test_queries_match_their_sql(spark, small, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    want = db.execute(q.oracle_sql()[name])
+    found = q.queries()[name](spark, small)
+    names = sorted(found.columns)
+    assert names == sorted(c[0] for c in want.description)
+    order = [[c[0] for c in want.description].index(n) for n in names]
+    assert sorted(tuple(r[n] for n in names) for r in found.collect()) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
