@@ -53,14 +53,15 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def placed(df: DataFrame, *order: Column) -> DataFrame:
+def placed(df: DataFrame, *order: Column, dealt_by: int | None = None) -> DataFrame:
     """df with `place`, each row's number from 0 in this order, without sorting all rows in one task.
 
     Rows are dealt into ranges and sorted within them; a range begins at the count of all rows before it, which is one number a
-    range. The order has to name every row, or rows that tie are alike. The sorted rows are written to the shared folder.
+    range. The order has to name every row, or rows that tie are alike. Ranges are cut by the first `dealt_by` columns of the order, as
+    Spark samples these on the driver. The sorted rows are written to the shared folder.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = durable(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()))
+    rows = durable(df.repartitionByRange(parts, *order[:dealt_by]).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()))
     sizes = rows.groupBy(F.shiftright("at_", 33).alias("range_")).agg(F.count("*").alias("n_"))
     starts = sizes.select("range_", (F.sum("n_").over(Window.orderBy("range_")) - F.col("n_")).alias("start_"))
     within = F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))

@@ -176,7 +176,7 @@ def manifest(docs: DataFrame, block: int = BLOCK, most: int = TOP, tampered: Col
     own = leaf(*map(F.col, FIELDS))
     other = own if tampered is None else leaf(*map(F.col, FIELDS[:-1]), tampered)
     hashed = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), own.alias("digest"), F.nullif(other, own).alias("changed")))
-    order = placed(hashed, F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("digest"))
+    order = placed(hashed, F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("digest"), dealt_by=2)
     trees = order.groupBy("source").agg(F.min("place").alias("tree"), F.count("*").alias("count")).withColumnRenamed("source", "of")
     leaves = order.join(trees, F.col("source").eqNullSafe(F.col("of"))).select("tree", (F.col("place") - F.col("tree")).alias("pos"), "count", "digest", "doc_id", "changed")
 
