@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions.strings import full_year
+
 # fixed values: names of the months as the sources write them, and the tags that end a block
 MONTHS = {"enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "septiembre": 9, "setiembre": 9, "octubre": 10, "noviembre": 11, "diciembre": 12}
 BLOCK_TAGS = "p|div|li|ul|ol|table|tr|td|th|h[1-6]|br|section|article|blockquote|nav|title|head|body"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+# fixed values: characters before a citation that tell its relation, and the digits that a phone number can have
 LOOK_BACK = 140
 PHONE_DIGITS = (8, 13)
 
@@ -78,20 +81,20 @@ def units(rows: DataFrame, key: str, levels: list[tuple[str, str]]) -> DataFrame
 
 def citations(rows: DataFrame, key: str, text: str, act: str, verbs: list[tuple[str, str]]) -> DataFrame:
     """key, act, number, year, relation of each citation. `act` is an alternation of act types; the relation is that of the first pattern of
-    `verbs` that the LOOK_BACK characters before the citation (after the previous one) match, else CITES. Two-digit years are of 19xx from 30."""
+    `verbs` that the LOOK_BACK characters before the citation (after the previous one) match, else CITES. Two-digit years above 40 are of 19xx."""
     pattern = rf"(?i)((?:(?!\b(?:{act})\s+N?[°º.]*\s*\d)[\s\S]){{0,{LOOK_BACK}}})\b({act})\s+N?[°º.]*\s*(\d{{1,3}}(?:\.\d{{3}})+|\d+)(?:/(\d{{4}}|\d{{2}})\b)?"
     field = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
     found = rows.select(key, F.explode(F.arrays_zip(field(1).alias("before"), field(2).alias("act"), field(3).alias("number"), field(4).alias("year"))).alias("c"))
     year = F.nullif(F.col("c.year"), F.lit("")).cast("int")
     relation = F.coalesce(*(F.when(F.col("c.before").rlike(p), name) for name, p in verbs), F.lit("CITES"))
-    return found.select(key, F.lower("c.act").alias("act"), F.regexp_replace("c.number", r"\.", "").cast("long").alias("number"), F.when(year < 30, year + 2000).when(year < 100, year + 1900).otherwise(year).alias("year"), relation.alias("relation"))
+    return found.select(key, F.lower("c.act").alias("act"), F.regexp_replace("c.number", r"\.", "").cast("long").alias("number"), F.when(year < 100, full_year(year)).otherwise(year).alias("year"), relation.alias("relation"))
 
 
 def date_range(text: str, context_year: Column | None = None) -> Column:
-    """struct(start, end, state) of "del D de M [de Y] al D de M [de Y]"; the state is GIVEN, DERIVED (a year was inferred) or PENDING
+    """struct(start, end, state) of "del D de M [de Y] al D de M [de Y]", also with "hasta el", "D°" and "del Y"; the state is GIVEN, DERIVED (a year was inferred) or PENDING
     (no range, no year at all, or a day that does not exist)."""
-    side = r"(\d{1,2}) de ([a-z]+)(?: de (\d{4}))?"
-    part = lambda i: F.nullif(F.regexp_extract(F.lower(text), f"del {side} al {side}", i), F.lit(""))
+    side = r"(\d{1,2})[°º]?\s+(?:de\s+)?(" + "|".join(MONTHS) + r")(?:\s+(?:del?\s+)?(\d{4}))?"
+    part = lambda i: F.nullif(F.regexp_extract(F.lower(text), rf"\bdel?\s+{side}\s+(?:al?|hasta\s+el)\s+{side}", i), F.lit(""))
     months = F.create_map(*(F.lit(x) for kv in MONTHS.items() for x in kv))
     d1, m1, y1, d2, m2, y2 = part(1).cast("int"), months[part(2)], part(3).cast("int"), part(4).cast("int"), months[part(5)], part(6).cast("int")
     context = F.lit(None).cast("int") if context_year is None else context_year
@@ -104,12 +107,14 @@ def date_range(text: str, context_year: Column | None = None) -> Column:
 
 
 def amounts(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, since, amount of each "a partir del d/m/Y $ 1.234,56"; amounts without a date, or with one that does not exist, are left out."""
-    p = F.lit(r"(?i)a partir del (\d{1,2}/\d{1,2}/\d{4})[^$\n]*\$ ?([\d.]*\d(?:,\d{2})?)")
-    both = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(1)).alias("day"), F.regexp_extract_all(text, p, F.lit(2)).alias("amount"))
-    found = rows.select(key, F.explode(both).alias("a"))
-    number = F.replace(F.replace(F.col("a.amount"), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return found.select(key, F.try_to_date("a.day", "d/M/y").alias("since"), number.cast("decimal(18,2)").alias("amount")).filter("since is not null")
+    """key, since, place (from 0), amount of each amount on a line after its "a partir del d/m/Y"; amounts without a date, or with one that
+    does not exist, are left out."""
+    p = F.lit(r"(?i)a partir del (\d{1,2}/\d{1,2}/\d{4})([^\n]*)")
+    both = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(1)).alias("day"), F.regexp_extract_all(text, p, F.lit(2)).alias("rest"))
+    found = rows.select(key, F.explode(both).alias("a")).select(key, F.try_to_date("a.day", "d/M/y").alias("since"), F.col("a.rest").alias("rest"))
+    each = found.filter("since is not null").select(key, "since", F.posexplode(F.regexp_extract_all("rest", F.lit(r"\$ ?([\d.]*\d(?:,\d{2})?)"), F.lit(1))).alias("place", "amount"))
+    number = F.replace(F.replace(F.col("amount"), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    return each.select(key, "since", "place", number.cast("decimal(18,2)").alias("amount"))
 
 
 def phones(text: str) -> Column:

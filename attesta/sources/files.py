@@ -25,9 +25,10 @@ TYPES = {
     "ley": "LEY", "decreto": "DECRETO", "decreto/ley": "DECRETO_LEY", "decreto ley": "DECRETO_LEY", "resolución": "RESOLUCION", "resolucion": "RESOLUCION",
     "disposición": "DISPOSICION", "disposicion": "DISPOSICION", "acordada": "ACORDADA",
 }
+# fixed value: the types that a jurisdiction numbers as one series
 NUMBERED_AS_ONE = ("LEY", "DECRETO", "DECRETO_LEY")
 
-#: Bytes that a catalogue may unpack to, and rows of it that are handed on at once.
+# fixed values: bytes that a catalogue may unpack to, and rows of it that are handed on at once.
 UNPACKED, BATCH = 2 << 30, 5000
 
 
@@ -84,39 +85,45 @@ def catalogue(spark: SparkSession, path: str, header: tuple[str, ...] = HEADER,
 def identities(rows: DataFrame) -> DataFrame:
     """external_id, type, number, year, issuer, title, text_url, uncertain, metadata_only, n_rows: an act for each id of a catalogue.
 
-    The number is null where it says that there is none. An identity is uncertain unless its type is numbered by jurisdiction, number and
-    year are given, and no other id has the same three: of homonyms none is certain. Of several rows of one id the first by issuer counts.
+    The number is null where it says that there is none. An identity with a key is uncertain unless its type is numbered by jurisdiction and
+    no other id has the same three: of homonyms none is certain. Without number or year there is no key to doubt. The
+    year is that of the sanction, else of the gazette; the title the short one, else the summary. Of several rows of one id the first by
+    issuer counts.
     """
     types = F.create_map(*(F.lit(x) for kv in TYPES.items() for x in kv))
     number = F.trim(F.coalesce("numero_norma", F.lit("")))
     url = F.coalesce(given("texto_actualizado"), given("texto_original"))
+    day = lambda c: F.try_to_date(F.trim(c), "yyyy-MM-dd")
+    year = F.year(F.coalesce(day("fecha_sancion"), day("fecha_boletin")))
     read = rows.select(
         F.trim("id_norma").alias("external_id"), F.coalesce(types[F.lower(F.trim("tipo_norma"))], F.lit("OTRO")).alias("type"), F.when(~F.lower(number).isin(*NO_NUMBER), number).alias("number"),
-        F.year(F.try_to_date(F.trim("fecha_sancion"), "yyyy-MM-dd")).alias("year"), given("organismo_origen").alias("issuer"), given("titulo_resumido").alias("title"), url.alias("text_url"),
+        year.alias("year"), given("organismo_origen").alias("issuer"), F.coalesce(given("titulo_resumido"), given("titulo_sumario")).alias("title"), url.alias("text_url"),
     ).filter("external_id <> ''")
     names = ["issuer", "type", "number", "year", "title", "text_url"]
     one = read.groupBy("external_id").agg(F.min(F.struct(*names)).alias("a"), F.count("*").alias("n_rows")).select("external_id", "a.*", "n_rows")
-    whole = F.col("type").isin(*NUMBERED_AS_ONE) & F.col("number").isNotNull() & F.col("year").isNotNull()
+    keyed = F.col("number").isNotNull() & F.col("year").isNotNull()
+    whole = F.col("type").isin(*NUMBERED_AS_ONE) & keyed
     shared = one.filter(whole).groupBy("type", "number", "year").agg(F.count("*").alias("same"))
     joined = one.withColumn("whole", whole).join(shared, ["type", "number", "year"], "left")
-    return joined.select("external_id", *names, (~F.col("whole") | (F.col("same") > 1)).alias("uncertain"), F.col("text_url").isNull().alias("metadata_only"), "n_rows")
+    return joined.select("external_id", *names, (keyed & (~F.col("whole") | F.coalesce(F.col("same") > 1, F.lit(False)))).alias("uncertain"), F.col("text_url").isNull().alias("metadata_only"), "n_rows")
 
 
-#: Longitudes and latitudes that a point of the country can have.
+# fixed values: longitudes and latitudes that a point of the country can have
 BOUNDS = (-74.0, -53.0, -56.0, -21.0)
 
 
 def directory(spark: SparkSession, path: str, columns: dict[str, str], bounds: tuple[float, float, float, float] = BOUNDS) -> DataFrame:
     """A row for each row of a directory in CSV: label, address, phone, email, web, lat, lng, place, accepted, fragment, fragment_sha256.
 
-    `columns` names the file's column of each field (name, detail, address, phone, email, web, geometry); the file must have that of the name.
+    `columns` names the file's column of each field (name, detail, address, phone, email, web, geometry); the file must have those of the name and the address.
     Values that say that there is no data are null; a row without a name isn't accepted. `place` is USABLE, NONE, or NO_CRS for a geometry
     that can't be a longitude and latitude within the bounds; it isn't turned into one. The fragment tells the row's filled columns.
     """
     rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
     rows = rows.toDF(*(c.removeprefix("\ufeff") for c in rows.columns))
-    if columns["name"] not in rows.columns:
-        raise Refused(f"no column {columns['name']} among {rows.columns}")
+    for needed in ("name", "address"):
+        if columns.get(needed) not in rows.columns:
+            raise Refused(f"no column {columns.get(needed)} among {rows.columns}")
     field = lambda f: given(columns[f]) if columns.get(f) in rows.columns else F.lit(None).cast("string")
     point = wkt_point(field("geometry"), *bounds)
     told = F.concat_ws(" | ", *(F.when(F.trim(F.col(f"`{c}`")) != "", F.concat(F.lit(f"{c}="), F.trim(F.col(f"`{c}`")))) for c in rows.columns))

@@ -16,6 +16,9 @@ def test_dates_of_documents(spark):
         ("Buenos Aires, 12 de abril de 2006\n(Texto sustituido por Decreto N° 148/2021 (B.O. 6112), 3/5/2021)", DAY, "GIVEN", ["Decreto 148/2021"]),
         ("Art. 1 (incorporado el 3 de mayo de 2021)", None, "OTHER_ACTS", ["UNIDENTIFIED"]), ("visto el 31/2/2001", None, "NO_DATE", []), ("visto el 3/2/2001 (nota)", None, "LOOSE", []),
         ("Buenos Aires, 12 de abril de 2006\nLa Plata, 13 de abril de 2006", None, "SEVERAL", []), ("  ", None, "NO_TEXT", []), (None, None, "NO_TEXT", []),
+        ("Buenos Aires, 12 de abril de 2006 (" + "x" * 16_000 + ")", DAY, "GIVEN", []), ("(" * 50_000 + " 3/5/2021 " + ")" * 50_000, None, "LOOSE", []),
+        ("Buenos Aires, 12 de abril de 2006 (nota (derogado por LEY Nº 1.234/98) 12 de abril de 2006", DAY, "GIVEN", []),
+        ("(a (b) modificado por Ley 5/2001, Buenos Aires, 12 de abril de 2006)", None, "OTHER_ACTS", ["Ley 5/2001"]), ("a los 12 días del mes de abril del año 2006 (sustituido el", DAY, "GIVEN", []),
     ]
     rows = spark.createDataFrame([(i, t[0]) for i, t in enumerate(told)], "i int, t string").select("i", relations.document_date(F.col("t")).alias("r")).orderBy("i").collect()
     assert [(r.r.date, r.r.state, r.r.acts) for r in rows] == [t[1:] for t in told]

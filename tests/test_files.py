@@ -20,21 +20,23 @@ def zipped(path, rows, header=files.HEADER, name="c.csv", extra=()):
     return str(path)
 
 
-def act(id_, kind, number, day, issuer="A", url=""):
-    return [id_, kind, number, "", issuer, day, "", "", "", 'Título, "uno"\nsigue', "", "", "", url, "", "0", "0"]
+def act(id_, kind, number, day, issuer="A", url="", gazette="", short='Título, "uno"\nsigue'):
+    return [id_, kind, number, "", issuer, day, "", gazette, "", short, "Sumario", "", "", url, "", "0", "0"]
 
 
 def test_catalogue_identities(spark, tmp_path):
     rows = [
         act("1", "Ley", "24714", "1996-10-02", url="http://h/1"), act("2", "Decreto", "1", "2001-01-05"), act("3", "Decreto", "1", "2001-02-05"), act("4", "Ley", "S/N", "1990-01-01"),
         act("5", "Resolución", "1", "2023-01-01", "B"), act("5", "Resolución", "1", "2023-01-01", "A"), act("6", "Acta", "2", "sin fecha"),
+        act("7", "Ley", "9", "", gazette="1990-03-04", short=""),
     ]
     got = {r.external_id: r for r in files.identities(files.catalogue(spark, zipped(tmp_path / "a.zip", rows))).collect()}
     assert {k: (r.type, r.number, r.year, r.uncertain, r.metadata_only, r.n_rows) for k, r in got.items()} == {
-        "1": ("LEY", "24714", 1996, False, False, 1), "2": ("DECRETO", "1", 2001, True, True, 1), "3": ("DECRETO", "1", 2001, True, True, 1), "4": ("LEY", None, 1990, True, True, 1),
-        "5": ("RESOLUCION", "1", 2023, True, True, 2), "6": ("OTRO", "2", None, True, True, 1),
+        "1": ("LEY", "24714", 1996, False, False, 1), "2": ("DECRETO", "1", 2001, True, True, 1), "3": ("DECRETO", "1", 2001, True, True, 1), "4": ("LEY", None, 1990, False, True, 1),
+        "5": ("RESOLUCION", "1", 2023, True, True, 2), "6": ("OTRO", "2", None, False, True, 1),
+        "7": ("LEY", "9", 1990, False, True, 1),
     }
-    assert got["5"].issuer == "A" and got["1"].title == 'Título, "uno"\nsigue'
+    assert got["7"].title == "Sumario" and got["5"].issuer == "A" and got["1"].title == 'Título, "uno"\nsigue'
 
 
 @pytest.mark.parametrize(

@@ -11,6 +11,24 @@ def test_citations_take_their_relation_from_what_stands_before(spark):
     assert found == {("ley", 1234, 1998, "AMENDS"), ("decreto", 77, 2010, "CITES"), ("ley", 5000, None, "REPEALED_BY")}
 
 
+def test_two_digit_years_of_citations(spark):
+    rows = spark.createDataFrame([(y, f"Ley 500/{y}") for y in (30, 40, 41)], "id int, t string")
+    assert {tuple(r)[:1] + (r.year,) for r in text.citations(rows, "id", "t", "ley", VERBS).collect()} == {(30, 2030), (40, 2040), (41, 1941)}
+
+
+def test_all_amounts_of_a_line(spark):
+    told = "A partir del 1/3/2024 $ 1.200,50 y $ 300\n$ 7 sin fecha\na partir del 31/2/2024 $ 5"
+    found = text.amounts(spark.createDataFrame([(1, told)], "id int, t string"), "id", "t").orderBy("place").collect()
+    assert [(str(r.since), r.place, str(r.amount)) for r in found] == [("2024-03-01", 0, "1200.50"), ("2024-03-01", 1, "300.00")]
+
+
+def test_other_wordings_of_ranges(spark):
+    told = ["del 1° de enero de 2024 hasta el 3 de marzo", "del 2 de mayo del 2024 al 5 de junio", "de 3 mayo 2024 a 4 mayo 2024"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "id int, t string")
+    got = [(str(r.r.start), str(r.r.end), r.r.state) for r in rows.select("id", text.date_range("t").alias("r")).orderBy("id").collect()]
+    assert got == [("2024-01-01", "2024-03-03", "DERIVED"), ("2024-05-02", "2024-06-05", "DERIVED"), ("2024-05-03", "2024-05-04", "GIVEN")]
+
+
 def test_date_ranges_without_years_or_days_stay_pending(spark):
     told = ["del 1 de enero al 3 de marzo", "del 20 de diciembre de 2024 al 5 de enero", "del 31 de febrero de 2024 al 3 de setiembre de 2024", "sin fechas", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "id int, t string")
