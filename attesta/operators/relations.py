@@ -110,7 +110,7 @@ class Scan:
                 k += self.word(k) == "n"
                 k += self.word(k) in ("°", "º")
                 number = ""
-                while self.number(k) is not None or (number and self.word(k) == "."):
+                while self.word(k).isdigit() or (number and self.word(k) == "."):
                     number, k = number + self.word(k), k + 1
                 year = self.word(k + 1)
                 if number and self.word(k) == "/" and year.isdigit() and 2 <= len(year) <= 4:
