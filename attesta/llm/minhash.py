@@ -18,7 +18,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import LOWER, durable, mix, packed, slices, word_bounds, word_hashes
@@ -104,8 +104,8 @@ def signature(members: np.ndarray) -> np.ndarray:
 SIGNED = "doc_id long, n_shingles long, set_key binary, sig binary"
 
 
-def signatures(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
-    """doc_id, n_shingles, set_key and sig, one row per document."""
+def signatures(docs: DataFrame, width: int, text: str, key: str, mark: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, set_key, sig and mark (a whole number, or null if none is given), one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -113,9 +113,10 @@ def signatures(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
                 sets = shingle_sets(batch.column("t"), width)
                 sigs = [signature(s).tobytes() if len(s) else None for s in sets]
                 columns = [batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_key", "sig"])
+                yield pa.RecordBatch.from_arrays([*columns, batch.column("m")], names=["doc_id", "n_shingles", "set_key", "sig", "mark"])
 
-    return docs.selectExpr(f"cast({key} as long) k", f"{text} t").mapInArrow(run, SIGNED)
+    marked = (F.lit(None) if mark is None else mark).cast("long").alias("m")
+    return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), marked).mapInArrow(run, f"{SIGNED}, mark long")
 
 
 def full_sets(docs: DataFrame, width: int, text: str, key: str) -> DataFrame:
@@ -407,19 +408,19 @@ def linked_classes(families: DataFrame, reps: DataFrame, docs: DataFrame, width:
     return found.withColumnRenamed("node", "rep")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80, mark: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per document.
 
     Documents link if 100 * |A & B| >= percent * |A | B| on their sets of `width`-word shingles; component_id is the smallest
     doc_id reachable. Texts without a word, null texts included, have an empty set and link with nothing. Equal sets are one class, so
     groups of copies of any size cost one signature. Null ids are no class's representative: such a row belongs to the class of
     its set, if others have it, or stays. Repeated doc_ids give repeated rows, each judged by its text; where one id stands
-    for several classes, these count as one. Other columns are dropped.
+    for several classes, these count as one. Other columns are dropped; `mark`, a whole number of each row, comes out as a column of that name.
     """
-    signed = durable(signatures(docs, width, text, key))
+    signed = durable(signatures(docs, width, text, key, mark))
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     reps = durable(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
     linked = linked_classes(candidate_families(reps, percent), reps, docs, width, percent, text, key)
     classes = reps.select("set_key", "rep").join(linked, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = signed.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *([] if mark is None else ["mark"]))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

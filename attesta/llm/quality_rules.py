@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import durable, slices
@@ -41,18 +41,19 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
     return n, sum(map(len, words)), len(SYMBOL.findall(text)), len(lines) - len(set(lines)), repeated
 
 
-def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
-    """doc_id, host, the five counts and base_failed, one row per input row. Null text: no words, which fails."""
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), *((m, pa.int64()) for m in MEASURES)])
+def measures(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", mark: Column | None = None) -> DataFrame:
+    """doc_id, host, mark, the five counts and base_failed, one row per input row. Null text: no words, which fails."""
+    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("mark", pa.int64()), *((m, pa.int64()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "t", 8 << 20):
                 found = [measure(t) for t in batch.column("t").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("host"), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("host"), batch.column("m"), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], schema=schema)
 
-    kinds = "doc_id long, host string, " + ", ".join(f"{m} long" for m in MEASURES)
-    counted = docs.selectExpr(f"cast({key} as long) k", f"{text} t", f"cast({host} as string) host").mapInArrow(run, kinds)
+    kinds = "doc_id long, host string, mark long, " + ", ".join(f"{m} long" for m in MEASURES)
+    marked = (F.lit(None) if mark is None else mark).cast("long").alias("m")
+    counted = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.col(host).cast("string").alias("host"), marked).mapInArrow(run, kinds)
     return counted.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
 
 
@@ -74,18 +75,18 @@ def host_rates(measured: DataFrame) -> DataFrame:
     return shrunk.withColumn("low", F.col("rate") - SURE * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(strength + 1))))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", host: str = "source", limit: float = HOST_LIMIT, mark: Column | None = None) -> DataFrame:
     """Per document: the measures, base_failed, its host's shrunk failure rate, host_refused and kept.
 
     kept is false if the document fails the base rules or its host is refused: even the lower bound of the host's rate is over
-    `limit`. Nulls: no text fails; null hosts are judged together. Repeated rows are kept apart; other columns are
-    dropped. The measures are written once to the shared folder. A host's verdict is one row, joined back by host, where
+    `limit`. Nulls: no text fails; null hosts are judged together; a null id is a document like others. Repeated rows are kept apart; other
+    columns are dropped; `mark`, a whole number of each row, comes out as a column of that name. The measures are written once to the shared folder. A host's verdict is one row, joined back by host, where
     Spark may split a hot one.
     """
-    measured = durable(measures(docs, text, key, host))
+    measured = durable(measures(docs, text, key, host, mark))
     hosts = host_rates(measured).select(F.col("host").alias("of"), F.col("rate").alias("host_rate"), (F.col("low") > limit).alias("host_refused"))
     return (
         measured.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left")
-        .drop("of")
+        .drop("of", *(["mark"] if mark is None else []))
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_refused", F.lit(False)))
     )

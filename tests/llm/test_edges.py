@@ -170,3 +170,15 @@ def test_stages_on_odd_and_empty_tables(spark, docs, labels, tmp_path):
         assert stage(spark, base.limit(0), str(tmp_path)).collect() == [], name
     assert p.STAGES[-1][1](spark, base.limit(0), str(tmp_path)).collect() == []
     assert p.run(spark, str(tmp_path)).count() >= 1
+
+
+def test_rows_that_share_an_id_or_have_none_get_their_own_verdict(spark):
+    import corpus_pipeline as p
+
+    good = "one two three four five six seven eight nine ten eleven twelve {}"
+    rows = [(7, good.format("a"), "en", "s", 1), (7, "bad", "en", "s", 2), (None, good.format("b"), "en", "s", 3), (None, None, "en", "s", 4), (8, good.format("c"), "en", None, 5), (8, good.format("c"), "en", "", 6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.rules(spark, table, "")
+    assert sorted(r["n_chars"] for r in kept.collect()) == [1, 3, 5, 6]
+    twins = spark.createDataFrame([(3, good.format("a b c d e f"), "en", "s", 1), (9, good.format("a b c d e f"), "en", "s", 2), (9, "quite another text with words of its own, none shared", "en", "s", 3)], table.schema)
+    assert sorted(r["n_chars"] for r in p.near_duplicates(spark, twins, "").collect()) == [1, 3]
