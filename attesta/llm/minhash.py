@@ -151,7 +151,9 @@ def unpacked(sigs: pa.Array) -> np.ndarray:
 
 
 def index_keys(reps: DataFrame, errors: int) -> DataFrame:
-    """key, rep: one row for each chunk variant of each class."""
+    """key, rep: one row for each chunk variant of each class. As a class becomes over a hundred rows, which are counted by key before they
+    move, classes are dealt to as many tasks as there are shuffle partitions, so that a task counts few."""
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +163,7 @@ def index_keys(reps: DataFrame, errors: int) -> DataFrame:
                 rep = np.repeat(part.column("rep").to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(rep)], names=["key", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return reps.select("rep", "sig").repartition(parts, "rep").mapInArrow(run, "key long, rep long")
 
 
 def planes(sigs: np.ndarray) -> np.ndarray:
