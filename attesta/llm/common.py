@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql.window import Window
 
 #: Text bytes that one vectorised step holds at most, apart from a single longer text.
 STEP_BYTES = 1 << 20
+#: Bytes of one batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,10 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, batches of rows that go to Python hold at most BATCH_BYTES, or one row: buffers on both sides stay small."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df once as a table in the shared folder and read it back: later plans start there."""
     path = f"{shared_dir(df.sparkSession)}/attesta-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     _WRITTEN[back] = path
     return back
