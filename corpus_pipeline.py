@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import minhash, ordinal, quality_rules, suffix
@@ -14,20 +14,21 @@ from attesta.llm.common import durable
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-#: A document's own mark: a verdict goes back to the row that it was given to, also where rows share an id or have none.
-MARK = F.xxhash64("text", F.coalesce("source", F.lit("")), F.col("source").isNull())
+def own_mark() -> Column:
+    """A document's own mark: a verdict goes back to the row that it was given to, also where rows share an id or have none."""
+    return F.xxhash64("text", F.coalesce("source", F.lit("")), F.col("source").isNull())
 
 
 def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The documents whose doc_id and mark are in kept; null ids match each other. Rows that are alike have one verdict."""
-    same = docs.withColumn("mark_", MARK)
+    same = docs.withColumn("mark_", own_mark())
     ids = kept.select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"))
     return same.join(ids, (F.col("mark_") == F.col("kept_mark")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host passes."""
-    return only(docs, quality_rules.quality_rules(docs, mark=MARK).filter("kept"))
+    return only(docs, quality_rules.quality_rules(docs, mark=own_mark()).filter("kept"))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
-    return only(docs, minhash.near_duplicates(docs, width=5, percent=80, mark=MARK).filter("kept"))
+    return only(docs, minhash.near_duplicates(docs, width=5, percent=80, mark=own_mark()).filter("kept"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
