@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.sources.shared import durable
+
 
 def optional(**wanted) -> Column:
     """The conjunction of column = value over the values that are given; a value of None filters nothing."""
@@ -32,37 +35,48 @@ def page(rows: DataFrame, order: list[Column], first: int, size: int) -> DataFra
     return rows.orderBy(*order).offset(first).limit(size).join(F.broadcast(total), how="cross")
 
 
-def numbered(rows: DataFrame, order: list[str], cuts: int = 255) -> DataFrame:
-    """All rows with their place from 1 by order, whose columns together must tell rows apart, without a window over the whole table.
-
-    Up to `cuts` sort keys, those with the smallest hashes, part the rows into ranges; a row's place is its number within its range after
-    the rows of the ranges before. The ranges depend on the rows only, so that counts and numbers agree however often they are computed.
-    """
-    key = F.struct(*order)
-    bounds = rows.select(key.alias("k")).orderBy(F.xxhash64(*order), "k").limit(cuts).agg(F.collect_list("k").alias("bounds"))
-    ranged = rows.withColumn("_k", key).join(F.broadcast(bounds), how="cross").withColumn("_range", F.size(F.filter("bounds", lambda b: b <= F.col("_k")))).drop("bounds")
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
-    before = counts.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))  # at most cuts + 1 rows
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("_k"))
-    return ranged.withColumn("_within", within).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_within")).drop("_k", "_range", "_within", "_before")
+#: Parts that a key's span of values is cut into, at each of so many rounds, before values are counted one by one.
+PARTS, ROUNDS = 1024, 2
 
 
-def ranked(rows: DataFrame, key: str, value: str, tie: str) -> DataFrame:
-    """key, value, i, n: the rows with a value by its rank from 0 within their key, and the key's count. Ties are told apart by `tie`.
+def at_ranks(rows: DataFrame, key: str, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """key and a column for each of `ranks`: the value at that rank from 0 in order among the key's rows that have one, by the key's count n.
 
-    Rows are numbered in ranges over all keys, so a key that holds most rows is shared by many tasks. Only the keys' counts meet in one
-    task, so keys are to be few, as event types are.
+    No rows are sorted. Each round counts, by sums before the shuffle, the rows of equal parts of what is left of a key's span, and goes on
+    with the part that holds the rank; after ROUNDS of them the distinct values of one part in PARTS ** ROUNDS are counted. So a key may hold
+    any share of the rows. Keys and ranks are joined as rows, a few a key. Values are finite numbers; null keys are one key; keys without
+    values are left out.
     """
-    known = rows.filter(F.col(value).isNotNull()).select(key, value, tie)
-    counts = known.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
-    before = counts.withColumn("_before", F.sum("n").over(Window.orderBy("_key")) - F.col("n"))
-    placed = numbered(known, [key, value, tie]).join(before, F.col(key).eqNullSafe(F.col("_key")))
-    return placed.select(key, value, (F.col("place") - F.col("_before") - 1).alias("i"), "n")
+    known = rows.filter(F.col(value).isNotNull()).select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"))
+    spans = known.groupBy("_key").agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank")) for name, rank in ranks.items())))
+    at = spans.select("_key", "low", "high", wanted.alias("w")).select("_key", "w.name", "w.rank", "low", "high", F.lit(0).cast("long").alias("under"))
+    target = ["_key", "name", "rank", "low", "high", "under"]
+
+    def counted(at: DataFrame, by: Column) -> DataFrame:
+        """Of the values in each target's span, the group (by) that holds its rank: its bounds, and how many values are under it."""
+        held = known.join(at.withColumnRenamed("_key", "_k"), F.col("_key").eqNullSafe(F.col("_k")) & F.col("_v").between(F.col("low"), F.col("high"))).drop("_k")
+        groups = held.groupBy("_key", "name", "rank", "under", by.alias("part")).agg(F.count("*").alias("c"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        reached = F.sum("c").over(Window.partitionBy("_key", "name").orderBy("part"))
+        found = groups.withColumn("reached", F.col("under") + reached).filter((F.col("reached") > F.col("rank")) & (F.col("reached") - F.col("c") <= F.col("rank")))
+        return found.withColumn("under", F.col("reached") - F.col("c")).select(*target)
+
+    width = (F.col("high") - F.col("low")) / PARTS
+    for _ in range(ROUNDS):
+        at = durable(counted(at, F.coalesce(F.least(F.floor(F.try_divide(F.col("_v") - F.col("low"), width)), F.lit(PARTS - 1)), F.lit(0))))
+    exact = counted(at, F.col("_v"))
+    columns = (F.max(F.when(F.col("name") == name, F.col("low"))).alias(name) for name in ranks)
+    return exact.groupBy(F.col("_key").alias(key)).agg(*columns)
+
+
+def discrete_rank(p: str) -> Callable[[Column], Column]:
+    """The rank from 0, in a group of n, of the exact discrete percentile: the first that at least the share p doesn't exceed."""
+    return lambda n: F.greatest(F.ceil(F.lit(p).cast("decimal(6,4)") * n) - 1, F.lit(0))
 
 
-def discrete_rank(p: str) -> Column:
-    """The rank from 0, in a group of n, of the exact discrete percentile: the first that at least the share p doesn't exceed."""
-    return F.greatest(F.ceil(F.lit(p).cast("decimal(6,4)") * F.col("n")) - 1, F.lit(0))
+def nearest_rank(p: str) -> Callable[[Column], Column]:
+    """The rank from 0, in a group of n, that is nearest to the share p of the way from the first to the last."""
+    return lambda n: F.floor(F.lit(p).cast("decimal(6,4)") * (n - 1) + F.lit("0.5").cast("decimal(2,1)"))
 
 
 def difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

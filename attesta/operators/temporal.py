@@ -37,9 +37,7 @@ def with_reasons(versions: DataFrame, releases: DataFrame, incidents: DataFrame,
     several evaluations of a field the last state by name counts. The release, incident and evaluation sides are summed to a row per key
     before they are joined, so none multiplies rows.
     """
-    fields = F.create_map(*(x for c, names in critical.items() for x in (F.lit(c), F.array(*map(F.lit, names)).cast("array<string>"))))[F.col("capability")]
-    one = evaluations.filter(F.col("field").isin(*{f for names in critical.values() for f in names})).groupBy("version_id", "field").agg(F.max("state").alias("state"))
-    told = one.groupBy("version_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "state"))).alias("told"))
+    told = told_states(evaluations, critical)
     published = releases.filter("state = 'PUBLISHED'").select("release_no", F.lit(True).alias("released"))
     blocked = grave_open(incidents).withColumn("blocked", F.lit(True))
     joined = versions.join(published, "release_no", "left").join(blocked, "version_id", "left").join(told, "version_id", "left")
@@ -54,12 +52,33 @@ def with_reasons(versions: DataFrame, releases: DataFrame, incidents: DataFrame,
         (F.col("blocked").isNotNull(), "GRAVE_INCIDENT"),
         (~F.col("capability").isin(*critical), "UNDECLARED_CAPABILITY"),
     ]
-    reasons = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), name) for c, name in cases)), lambda r: r.isNotNull())
-    state = lambda f: F.try_element_at("told", f)
-    uninformed = F.transform(F.filter(fields, lambda f: state(f) != "INFORMED"), lambda f: F.concat(F.lit("FIELD_"), f, F.lit("_"), state(f)))
-    unevaluated = F.transform(F.filter(fields, lambda f: state(f).isNull()), lambda f: F.concat(F.lit("FIELD_"), f, F.lit("_NOT_EVALUATED")))
-    none = F.array().cast("array<string>")
-    return joined.withColumn("reasons", F.concat(reasons, F.coalesce(uninformed, none), F.coalesce(unevaluated, none))).drop("released", "blocked", "told")
+    told_of = [(F.col("capability") == c, f, F.col(f"_told_{f}")) for c, names in critical.items() for f in names]
+    uninformed = [F.when(mine & (state != "INFORMED"), F.concat(F.lit(f"FIELD_{f}_"), state)) for mine, f, state in told_of]
+    unevaluated = [F.when(mine & state.isNull(), F.lit(f"FIELD_{f}_NOT_EVALUATED")) for mine, f, state in told_of]
+    said = F.concat_ws(",", *(F.when(F.coalesce(c, F.lit(False)), name) for c, name in cases), *uninformed, *unevaluated)
+    reasons = F.when(said == "", F.array().cast("array<string>")).otherwise(F.split(said, ","))
+    return joined.withColumn("reasons", reasons).drop("released", "blocked", *(c for c in told.columns if c != "version_id"))
+
+
+def told_states(evaluations: DataFrame, critical: dict[str, tuple[str, ...]]) -> DataFrame:
+    """version_id and _told_f of each critical field f: the last state by name of its evaluations, null if there is none. One aggregate."""
+    fields = sorted({f for names in critical.values() for f in names})
+    states = (F.max(F.when(F.col("field") == f, F.col("state"))).alias(f"_told_{f}") for f in fields)
+    return evaluations.filter(F.col("field").isin(*fields)).groupBy("version_id").agg(*states)
+
+
+def servable(versions: DataFrame, releases: DataFrame, incidents: DataFrame, evaluations: DataFrame, valid_on: Column, known_on: Column, critical: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The versions that with_reasons() finds no reason against. What a version itself tells is asked before anything is joined."""
+    fresh = F.col("verified_on").isNotNull() & F.coalesce(F.col("reverify_on") > known_on, F.lit(True))
+    own = versions.filter((F.col("review_state") == "PUBLISHED") & known_at(known_on) & range_contains(valid_on) & fresh & F.col("capability").isin(*critical))
+    live = own.join(releases.filter("state = 'PUBLISHED'").select("release_no"), "release_no", "left_semi").join(grave_open(incidents), "version_id", "left_anti")
+    told = told_states(evaluations, critical)
+    joined = live.join(told, "version_id", "left")
+    informed = F.lit(True)
+    for c, names in critical.items():
+        for f in names:
+            informed = informed & ((F.col("capability") != c) | F.coalesce(F.col(f"_told_{f}") == "INFORMED", F.lit(False)))
+    return joined.filter(informed).select(*versions.columns)
 
 
 def periods(rows: DataFrame, key: str, day: str, value: str) -> DataFrame:

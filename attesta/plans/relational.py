@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from attesta.operators import relational as r
 from attesta.plans.registry import query
+from attesta.sources.shared import numbered
 from attesta.sources.tables import INCIDENTS_SQL, RELEASES_SQL, VERSIONS_SQL, incidents, releases, table, versions
 
 
@@ -198,16 +199,12 @@ def fanout_guard(spark, sf_dir):
 
 @query("outcome_p95", "SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.5) AS p50 FROM events GROUP BY event_type")
 def outcome_p95(spark, sf_dir):
-    x = r.ranked(table(spark, sf_dir, "events"), "event_type", "value", "event_id")
-    at = lambda p: F.max(F.when(F.col("i") == r.discrete_rank(p), F.col("value")))
-    return x.groupBy("event_type").agg(at("0.95").alias("p95"), at("0.5").alias("p50"))
+    return r.at_ranks(table(spark, sf_dir, "events"), "event_type", "value", {"p95": r.discrete_rank("0.95"), "p50": r.discrete_rank("0.5")})
 
 
 @query("nearest_rank", "WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, value AS p90 FROM x WHERE i = floor(0.9 * (n - 1) + 0.5)")
 def nearest_rank(spark, sf_dir):
-    x = r.ranked(table(spark, sf_dir, "events"), "event_type", "value", "event_id")
-    rank = F.floor(F.lit(0.9).cast("decimal(2,1)") * (F.col("n") - 1) + F.lit(0.5).cast("decimal(2,1)"))
-    return x.filter(F.col("i") == rank).select("event_type", F.col("value").alias("p90"))
+    return r.at_ranks(table(spark, sf_dir, "events"), "event_type", "value", {"p90": r.nearest_rank("0.9")})
 
 
 @query("having_duplicates", "SELECT p_brand, p_type, p_size, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY ALL HAVING count(*) > 1")
@@ -278,7 +275,7 @@ def severity_order(spark, sf_dir):
 def jurisdiction_marked(spark, sf_dir):
     """Every supplier with its mark and its place: those of the nation first, none left out."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", (F.col("s_nationkey") != 7).alias("other"))
-    return r.numbered(s, ["other", "s_name", "s_suppkey"])
+    return numbered(s, F.col("other"), F.col("s_name"), F.col("s_suppkey"))
 
 
 @query("released_counts", f"WITH {VERSIONS_SQL}, {RELEASES_SQL} SELECT r.release_no, r.state, count(v.version_id) AS members FROM releases r LEFT JOIN versions v ON v.release_no = r.release_no AND v.review_state = 'PUBLISHED' GROUP BY ALL")

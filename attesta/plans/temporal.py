@@ -44,7 +44,8 @@ def judged(spark, sf_dir):
 
 @query("temporal_serving", REASONS_SQL + " SELECT entity_id, version_id, version_no, valid_from::VARCHAR AS valid_from FROM judged j WHERE NOT EXISTS (SELECT 1 FROM reasons r WHERE r.version_id = j.version_id)")
 def temporal_serving(spark, sf_dir):
-    return judged(spark, sf_dir).filter(F.size("reasons") == 0).select("entity_id", "version_id", "version_no", F.col("valid_from").cast("string"))
+    found = t.servable(versions(spark, sf_dir), releases(spark, sf_dir), incidents(spark, sf_dir), evaluations(spark, sf_dir), day(DAY), day(KNOWN), CRITICAL)
+    return found.select("entity_id", "version_id", "version_no", F.col("valid_from").cast("string"))
 
 
 @query("servable_reasons", REASONS_SQL + " SELECT version_id, reason FROM reasons")
