@@ -39,3 +39,39 @@ def contrast(rows: DataFrame, key: str, component: str, value: str) -> DataFrame
     g = rows.groupBy(key, component).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     state = F.when(F.col("n") == 0, "SILENT").when(F.col("lo") != F.col("hi"), "CONFLICT").when(F.col("n") == 1, "ONLY_ONE").otherwise("AGREE")
     return g.select(key, component, state.alias("state"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("value"))
+
+
+def completed(acts: DataFrame, views: DataFrame) -> DataFrame:
+    """acts (norm_id, type, number, year, title, uncertain) after further views of them (norm_id, place, type, number, year, title), with `outcome`.
+
+    The first view by place that has type, number and year completes an uncertain identity: COMPLETED, and its title counts where it has one.
+    A sure identity is never changed: CONFLICT if any such view says otherwise, for somebody to decide, else KEPT. Acts without such a view
+    are KEPT as they were. Views are summed to a row an act by partial aggregates, however many an act has.
+    """
+    identity = F.struct("type", "number", "year")
+    full = views.filter("type <> '' and number <> '' and year <> 0")
+    seen = full.groupBy("norm_id").agg(F.min_by(F.struct("type", "number", "year", "title"), "place").alias("v"), F.min(identity).alias("lo"), F.max(identity).alias("hi"))
+    joined = acts.join(seen, "norm_id", "left")
+    differs = (F.col("lo") != identity) | (F.col("hi") != identity)
+    outcome = F.when(F.col("v").isNull(), "KEPT").when(F.col("uncertain"), "COMPLETED").when(F.coalesce(differs, F.lit(True)), "CONFLICT").otherwise("KEPT")
+    told = joined.withColumn("outcome", outcome)
+    done = F.col("outcome") == "COMPLETED"
+    pick = lambda c: F.when(done, F.col(f"v.{c}")).otherwise(F.col(c)).alias(c)
+    title = F.when(done, F.coalesce(F.nullif("v.title", F.lit("")), "title")).otherwise(F.col("title")).alias("title")
+    return told.select("norm_id", pick("type"), pick("number"), pick("year"), title, (F.col("uncertain") & ~done).alias("uncertain"), "outcome")
+
+
+def equivalences(changes: DataFrame) -> DataFrame:
+    """key, from_route, to_route, kind, other_article of the MOVED and MODIFIED units of a diff (key, change, was_route, now_route): RENUMBERED or
+    REPLACED, and whether the article that the route passes through is another. Removed and added units correspond to nothing."""
+    article = lambda c: F.get(F.filter(F.split(c, "/"), lambda t: t.startswith("article")), F.lit(0))
+    kept = changes.filter("change in ('MOVED', 'MODIFIED')").withColumn("to_route", F.coalesce("now_route", "was_route"))
+    kind = F.when(F.col("change") == "MOVED", "RENUMBERED").otherwise("REPLACED")
+    return kept.select("key", F.col("was_route").alias("from_route"), "to_route", kind.alias("kind"), (~article("was_route").eqNullSafe(article("to_route"))).alias("other_article"))
+
+
+def redirected(cites: DataFrame, equivalent: DataFrame) -> DataFrame:
+    """cites (cite_id, key, route) with `now`, the route that an approved equivalence (key, from_route, to_route, review) leads to, else null: in
+    doubt a citation is answered with what it cited. Several approved ones of a route lead nowhere either."""
+    approved = equivalent.filter("review in ('APPROVED', 'PUBLISHED')").groupBy("key", F.col("from_route").alias("route")).agg(F.min("to_route").alias("lo"), F.max("to_route").alias("hi"))
+    return cites.join(approved.select("key", "route", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("now")), ["key", "route"], "left").select("cite_id", "key", "route", "now")

@@ -28,7 +28,7 @@ def indicators(spark, sf_dir):
         D.Indicator("rules_unsigned", rules, (F.asc_nulls_last("benefit"), F.col("rule")), True),
         D.Indicator("incidents_open", incidents(spark, sf_dir).filter("state = 'OPEN'").select("severity", "version_id"), (weight, F.col("version_id")), True),
         D.Indicator("sources_blocked", blocked, (F.col("source"),)),
-        D.Indicator("abstentions_last_day", last_day.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), F.col("event_type").alias("outcome"), F.col("event_id").alias("request")), (F.desc("at"),)),
+        D.Indicator("abstentions_last_day", last_day.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("moment"), F.col("event_type").alias("outcome"), F.col("event_id").alias("request")), (F.desc("moment"),)),
         D.Indicator("waiting_for_review", v.filter(f"{UNRELEASED} and review_state = 'CANDIDATE' and valid_kind <> 'UNKNOWN'").select(*row), by_entity, True),
         D.Indicator("without_interval", v.filter(f"{UNRELEASED} and valid_kind = 'UNKNOWN'").select(*row), by_entity, True),
         D.Indicator("places_published", places, (F.col("jurisdiction"), F.col("name"))),
@@ -45,7 +45,7 @@ ROWS_SQL = f"""{VERSIONS_SQL}, {INCIDENTS_SQL}, i AS (
  SELECT 'rules_unsigned' AS indicator, true AS alarming, {told_sql('rule', 'benefit', 'category')} AS told, row_number() OVER (ORDER BY benefit NULLS LAST, rule) AS place FROM (SELECT p_partkey AS rule, CASE WHEN p_partkey % 6 <> 0 THEN p_brand END AS benefit, p_type AS category FROM part WHERE p_size % 4 = 1) x
  UNION ALL SELECT 'incidents_open', true, {told_sql('severity', 'version_id')}, row_number() OVER (ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, version_id, severity) FROM incidents WHERE state = 'OPEN'
  UNION ALL SELECT 'sources_blocked', false, {told_sql('source', 'name')}, row_number() OVER (ORDER BY source) FROM (SELECT s_suppkey AS source, s_name AS name FROM supplier WHERE s_acctbal < 0) x
- UNION ALL SELECT 'abstentions_last_day', false, {told_sql('at', 'outcome', 'request')}, row_number() OVER (ORDER BY at DESC, request) FROM (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, event_type AS outcome, event_id AS request FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AND event_type IN ('error', 'signup')) x
+ UNION ALL SELECT 'abstentions_last_day', false, {told_sql('moment', 'outcome', 'request')}, row_number() OVER (ORDER BY moment DESC, request) FROM (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS moment, event_type AS outcome, event_id AS request FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR AND event_type IN ('error', 'signup')) x
  UNION ALL SELECT 'waiting_for_review', true, {ROW}, row_number() OVER (ORDER BY entity_id, version_no) FROM versions WHERE review_state = 'CANDIDATE' AND valid_kind <> 'UNKNOWN'
  UNION ALL SELECT 'without_interval', true, {ROW}, row_number() OVER (ORDER BY entity_id, version_no) FROM versions WHERE review_state <> 'PUBLISHED' AND valid_kind = 'UNKNOWN'
  UNION ALL SELECT 'places_published', false, {told_sql('jurisdiction', 'name')}, row_number() OVER (ORDER BY jurisdiction, name) FROM (SELECT c_nationkey AS jurisdiction, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING') x

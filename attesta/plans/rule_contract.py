@@ -30,6 +30,12 @@ def parameter_values(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.lit("FLOOR").alias("code"), F.concat(100 * n, F.lit(".25")).alias("value"), since.alias("valid_from"), F.date_add(since, 59).alias("valid_to"), F.when(n % 5 == 0, "CANDIDATE").otherwise("APPROVED").alias("review"))
 
 
+def facts_on(spark, sf_dir):
+    """What is known of each customer, with the day of asking and that day's floor."""
+    asked = known(spark, sf_dir).withColumn("asked_on", F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 2000).cast("int")))
+    return R.with_parameters(asked, parameter_values(spark, sf_dir), ["FLOOR"], "asked_on")
+
+
 @query("contract_verdicts", """WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 5 <> 0 THEN coalesce(n, 0) END AS orders,
  CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey < 8 END AS fo, DATE '1995-01-01' + (c_custkey % 2000)::INT AS day FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey),
 p AS (SELECT n_nationkey * 100 + 0.25 AS v, DATE '1995-01-01' + (80 * n_nationkey)::INT AS a FROM nation WHERE n_nationkey % 5 <> 0),
@@ -41,8 +47,7 @@ r AS (SELECT c_custkey, CASE WHEN b IS NULL OR s IS NULL OR x IS NULL OR l IS NU
 SELECT c_custkey, benefit, CASE benefit WHEN 'second' THEN 'NEEDS_REVIEW' ELSE verdict END AS verdict, questions, remedies FROM r, (VALUES ('first'), ('second')) t(benefit)""")
 def contract_verdicts(spark, sf_dir):
     """Each customer's verdict on both benefits, what to ask and which exceptions there are, on the day of asking."""
-    asked = known(spark, sf_dir).withColumn("asked_on", F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 2000).cast("int")))
-    facts = R.with_parameters(asked, parameter_values(spark, sf_dir), ["FLOOR"], "asked_on")
+    facts = facts_on(spark, sf_dir)
     found = [R.verdicts(facts, rules, ["c_custkey"]).withColumn("benefit", F.lit(b)) for b, rules in BENEFITS.items()]
     ways = F.transform("remedies", lambda x: F.concat_ws("/", x["blocker"], x["exception"], x["state"]))
     return found[0].unionByName(found[1]).select("c_custkey", "benefit", "verdict", F.array_join("questions", ",").alias("questions"), F.array_join(ways, ",").alias("remedies"))

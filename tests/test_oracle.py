@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from attesta.plans import acts, census, dashboard, domain, fields, html, monitoring, publishing, registry, relational, retrieval, rule_contract, rule_sets, scalars, sql_functions, state, structure, temporal, text  # noqa: F401
+from attesta.plans import acts, answers, census, dashboard, domain, fields, html, monitoring, publishing, registry, relational, retrieval, rule_contract, rule_sets, scalars, sql_functions, state, structure, temporal, text  # noqa: F401
 
 
 def plain(rows, names):
