@@ -6,7 +6,6 @@ A candidate proposes, it doesn't conclude: a field has a value only once a claim
 from __future__ import annotations
 
 import re
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,23 +57,24 @@ def pattern(phrases: tuple[str, ...]) -> str:
         words = ["(?:" + "|".join(map(word, w.split("|"))) + ")" for w in p.split(" ")]
         return f"{BLANKS}+".join(words).replace(f"{BLANKS}+(?:/){BLANKS}+", f"{BLANKS}*/{BLANKS}*")
 
-    begin = "".join(sorted({c for p in phrases for w in p.split(" ")[0].split("|") for c in w[0].translate(ACCENTED).strip("[]")}))
-    return rf"(?iu)(?=[{begin}])(?<!{LETTER})(?:" + "|".join(map(phrase, phrases)) + ")"  # most places end at the first letter
+    # most places end at the first letter, which is looked up in a plain set: no flag for case holds there, as it would make the set slow
+    first = {c for p in phrases for w in p.split(" ")[0].split("|") for c in w[0].translate(ACCENTED).strip("[]")}
+    begin = "".join(sorted(first | {c.upper() for c in first}))
+    return rf"(?=[{begin}])(?<!{LETTER})(?iu:" + "|".join(map(phrase, phrases)) + ")"
 
 
 def signals(text: Column, phrases: dict[str, tuple[str, ...]] = SIGNALS) -> Column:
     """array of struct(field, start, signal): for each field, in order, its first signal in a text and where it starts, in characters from 0.
 
-    Accents of vowels and case don't count. Null and empty texts have none. Each field's expression divides the text once at its first match.
+    Accents of vowels and case don't count. Null and empty texts have none. A text is searched once a field, and once more for the place of
+    what was found; both by expressions that compile their pattern once.
     """
-    def first(field: str, sides: Column) -> Column:
-        start = F.char_length(sides[0])
-        length = F.char_length(text) - start - F.char_length(F.get(sides, F.lit(1)))
-        return F.when(F.size(sides) == 2, F.struct(F.lit(field).alias("field"), start.alias("start"), F.substring(text, start + 1, length).alias("signal")))
-
-    # bound by a lambda, so that a text is divided once a field and not once a use
-    found = [F.transform(F.array(F.split(text, pattern(told), 2)), partial(first, field))[0] for field, told in phrases.items()]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    found = []
+    for field, told in phrases.items():
+        sought = pattern(told)
+        signal, before = F.regexp_extract(text, sought, 0), F.regexp_extract(text, f"(?s)^(.*?){sought}", 1)
+        found.append(F.when(signal != "", F.struct(F.lit(field).alias("field"), F.char_length(before).alias("start"), signal.alias("signal"))))
+    return F.array_compact(F.array(*found))
 
 
 def candidates(units: DataFrame, phrases: dict[str, tuple[str, ...]] = SIGNALS) -> DataFrame:
@@ -101,6 +101,7 @@ def states(versions: DataFrame, claims: DataFrame, fields: tuple[str, ...] = FIE
     INFORMED by its approved or published claims that inform, else PENDING by its candidates, else NOT_INFORMED; n counts them. Claims are
     summed to a row a version before the join, so a version or field with many of them costs one row. Claims on other fields don't count.
     """
+
     def count(c: Column, alias: str) -> Column:
         return F.count_if(F.coalesce(c, F.lit(False))).alias(alias)
 
