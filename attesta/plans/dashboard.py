@@ -52,7 +52,12 @@ ROWS_SQL = f"""{VERSIONS_SQL}, {INCIDENTS_SQL}, i AS (
  UNION ALL SELECT 'versions_published', false, {ROW}, row_number() OVER (ORDER BY entity_id, version_no) FROM versions WHERE review_state = 'PUBLISHED')"""
 
 
-@query("dashboard", f"WITH {ROWS_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY indicator) AS n FROM i) SELECT indicator, n, alarming, place::INT AS place, told::VARCHAR AS told FROM c WHERE place <= {MOST}")
+ALARMS = {"rules_unsigned": True, "incidents_open": True, "sources_blocked": False, "abstentions_last_day": False, "waiting_for_review": True, "without_interval": True, "places_published": False, "versions_published": False}
+NAMES_SQL = ", ".join(f"('{name}', {alarms})" for name, alarms in ALARMS.items())
+
+
+@query("dashboard", f"""WITH {ROWS_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY indicator) AS n FROM i) SELECT indicator, n, alarming, place::INT AS place, told::VARCHAR AS told FROM c WHERE place <= {MOST}
+UNION ALL SELECT name, 0, alarms, NULL, NULL FROM (VALUES {NAMES_SQL}) t(name, alarms) WHERE name NOT IN (SELECT indicator FROM i)""")
 def dashboard(spark, sf_dir):
     """Each indicator's number with its first rows; the report shows twenty, the number is that of all."""
     return D.dashboard(indicators(spark, sf_dir), MOST)
