@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.sources.shared import durable
+
 
 def all_of(*parts: Column) -> Column:
     """Kleene conjunction: false wins over unknown."""
@@ -58,10 +60,13 @@ def unit_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     Units that stayed in place are SAME and settled first. Of the rest, equal units pair by their turn among equals and are MOVED (reported
     at the new place); what is left in the same place on both sides is MODIFIED; what then remains is REMOVED or ADDED. Nothing is compared
     beyond its own key, and every step is an aggregation, so null keys and units meet like any others.
+
+    The sides are met once and written: the steps that follow start from a table, not each from a union of its own, whose rows Spark 4.1
+    takes to be dealt by the key already where both sides come from shuffled joins, and then leaves unpaired.
     """
     sides = old.select(*key, "place", "unit", F.lit(True).alias("old")).unionByName(new.select(*key, "place", "unit", F.lit(False).alias("old")))
     had, has = F.bool_or("old"), F.bool_or(~F.col("old"))
-    placed = sides.groupBy(*key, "place", "unit").agg(had.alias("had"), has.alias("has"))
+    placed = durable(sides.groupBy(*key, "place", "unit").agg(had.alias("had"), has.alias("has")))
     same = placed.filter("had and has").select(*key, "place", F.lit("SAME").alias("change"))
     turn = F.row_number().over(Window.partitionBy(*key, "unit", "had").orderBy("place"))
     apart = placed.filter("not (had and has)").withColumn("turn", turn)

@@ -3,7 +3,10 @@
 import random
 from collections import defaultdict
 
+import duckdb
+
 from attesta.operators import rules
+from attesta.plans import domain, registry  # noqa: F401
 
 UNITS = "doc long, place int, unit string"
 
@@ -36,3 +39,16 @@ def test_random_versions_match_the_plain_rules(spark):
     got = sorted((x.doc, x.place, x.change) for x in rules.unit_diff(old, new, ["doc"]).collect())
     assert got == sorted((d, *c) for d in range(60) for c in plain(sides[0][d], sides[1][d]))
     assert rules.unit_diff(old.filter("doc < 0"), new.filter("doc < 0"), ["doc"]).count() == 0
+
+
+def test_sides_that_come_from_shuffled_joins_are_paired(spark, small):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        got = sorted(tuple(x) for x in registry.QUERIES["unit_diff"](spark, small).select("doc_id", "change", "n").collect())
+    finally:
+        spark.conf.set(name, before)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    assert got == sorted(db.execute(f"SELECT doc_id, change, n FROM ({registry.ORACLE['unit_diff']})").fetchall())
