@@ -22,7 +22,7 @@ blocks AS (SELECT page_id, text, row_number() OVER w - 1 AS place, sum(length(te
 
 
 def trees(spark, sf_dir):
-    return html.trees(table(spark, sf_dir, "pages"))
+    return html.trees(table(spark, sf_dir, "pages"), keep=("page_id",))
 
 
 @query("html_blocks", f"""WITH {BLOCKS_SQL} SELECT page_id, place::INT AS place, starts::INT AS "start", (starts + length(text))::INT AS "end", substr(text, 1, 1) IN ('"', '“', '«', '''', '‘') AS quoted, sha256(text) AS block FROM blocks""")
@@ -41,8 +41,8 @@ def html_hidden(spark, sf_dir):
     ad = F.regexp_extract("html", '(?s)<div class="ad">(.*?)</div>', 1)
     plain = F.concat(F.lit('<div class="ad">'), ad, F.lit("</div>"))
     pages = table(spark, sf_dir, "pages").filter(F.trim(F.translate(ad, "\n\t", "  ")) != "")
-    shown = html.trees(pages).select("page_id", F.size("blocks").alias("n"))
-    found = html.trees(pages.withColumn("html", F.replace("html", plain, F.concat(opened, ad, ended))))
+    shown = html.trees(pages, keep=("page_id",)).select("page_id", F.size("blocks").alias("n"))
+    found = html.trees(pages.withColumn("html", F.replace("html", plain, F.concat(opened, ad, ended))), keep=("page_id",))
     both = found.filter(F.size("hidden") == 1).join(shown, "page_id")
     return both.select("page_id", F.sha2(F.col("hidden")[0], 256).alias("hidden"), (F.col("n") - F.size("blocks")).alias("blocks_less"))
 
