@@ -26,12 +26,15 @@ def resolved(cites: DataFrame, acts: DataFrame) -> DataFrame:
     An act (act_id, jurisdiction, type, number, year, uncertain) is the target if it alone has the type, number and, where it is told, the
     year, within the jurisdiction; acts of uncertain identity never are. Candidates are how many have them.
     """
-    sure = acts.filter("not uncertain").select("jurisdiction", F.col("type").alias("act"), "number", "year", F.col("act_id").alias("found"))
-    one = (F.count("*").alias("candidates"), F.min("found").alias("found"))
-    once = cites.select("act_id", "jurisdiction", "unit_id", "act", "number", "year", "relation").distinct()
-    dated = once.filter("year is not null").join(sure.groupBy("jurisdiction", "act", "number", "year").agg(*one), ["jurisdiction", "act", "number", "year"], "left")
-    undated = once.filter("year is null").join(sure.groupBy("jurisdiction", "act", "number").agg(*one), ["jurisdiction", "act", "number"], "left")
-    both = dated.unionByName(undated).withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    # an act counts under its year and under none, so that one join serves the citations with and without a year. Acts
+    # aren't broadcast: their columns repeat, so what they shuffle is small beside what they take in memory
+    told = F.explode(F.array_distinct(F.array("year", F.lit(None).cast(acts.schema["year"].dataType))))
+    sure = acts.filter("not uncertain").select("jurisdiction", F.col("type").alias("act"), "number", told.alias("year"), F.col("act_id").alias("found"))
+    known = sure.groupBy("jurisdiction", "act", "number", "year").agg(F.count("*").alias("candidates"), F.min("found").alias("found"))
+    names = ["act_id", "jurisdiction", "unit_id", "act", "number", "year", "relation"]
+    once = cites.select(*names).distinct()
+    same = [once[k] == known[k] for k in ("jurisdiction", "act", "number")]
+    both = once.join(known.hint("merge"), [*same, once["year"].eqNullSafe(known["year"])], "left").select(*(once[n] for n in names), F.coalesce("candidates", F.lit(0)).alias("candidates"), "found")
     return both.withColumn("target", F.when(F.col("candidates") == 1, F.col("found"))).drop("found")
 
 

@@ -82,9 +82,15 @@ def units(rows: DataFrame, key: str, levels: list[tuple[str, str]]) -> DataFrame
 def citations(rows: DataFrame, key: str, text: str, act: str, verbs: list[tuple[str, str]]) -> DataFrame:
     """key, act, number, year, relation of each citation. `act` is an alternation of act types; the relation is that of the first pattern of
     `verbs` that the LOOK_BACK characters before the citation (after the previous one) match, else CITES. Two-digit years above 40 are of 19xx."""
-    pattern = rf"(?i)((?:(?!\b(?:{act})\s+N?[°º.]*\s*\d)[\s\S]){{0,{LOOK_BACK}}})\b({act})\s+N?[°º.]*\s*(\d{{1,3}}(?:\.\d{{3}})+|\d+)(?:/(\d{{4}}|\d{{2}})\b)?"
-    field = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
-    found = rows.select(key, F.explode(F.arrays_zip(field(1).alias("before"), field(2).alias("act"), field(3).alias("number"), field(4).alias("year"))).alias("c"))
+    pattern = rf"(?i)\b({act})\s+N?[°º.]*\s*(\d{{1,3}}(?:\.\d{{3}})+|\d+)(?:/(\d{{4}}|\d{{2}})\b)?"
+    # what lies between citations is cut out by them, and the parts of each are read from it alone: a text is gone through twice, whatever its
+    # length. An outer explode, as Spark infers for others a filter that reads the texts once more
+    between = F.transform(F.split(text, pattern, -1), lambda t: F.right(t, F.lit(LOOK_BACK)))
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    read = rows.select(key, F.zip_with(whole, between, lambda w, b: F.struct(w.alias("whole"), b.alias("before"))).alias("read"))
+    cited = read.select(key, F.explode_outer("read").alias("w")).filter("w.whole is not null")
+    field = lambda i: F.regexp_extract("w.whole", pattern, i)
+    found = cited.select(key, F.struct(F.col("w.before").alias("before"), field(1).alias("act"), field(2).alias("number"), field(3).alias("year")).alias("c"))
     year = F.nullif(F.col("c.year"), F.lit("")).cast("int")
     relation = F.coalesce(*(F.when(F.col("c.before").rlike(p), name) for name, p in verbs), F.lit("CITES"))
     return found.select(key, F.lower("c.act").alias("act"), F.regexp_replace("c.number", r"\.", "").cast("long").alias("number"), F.when(year < 100, full_year(year)).otherwise(year).alias("year"), relation.alias("relation"))

@@ -11,6 +11,13 @@ def test_citations_take_their_relation_from_what_stands_before(spark):
     assert found == {("ley", 1234, 1998, "AMENDS"), ("decreto", 77, 2010, "CITES"), ("ley", 5000, None, "REPEALED_BY")}
 
 
+def test_texts_are_gone_through_once_for_citations(spark):
+    rows = spark.createDataFrame([(1, "Ley 5/98x, derogado por" + " y" * 50 + " ley 1.2345 Ley 7/19985" + "." * 200 + "LEY N° 8"), (2, "")], "id int, t string")
+    found = text.citations(rows, "id", "t", "ley", VERBS)
+    assert [tuple(r) for r in found.collect()] == [(1, "ley", 5, None, "CITES"), (1, "ley", 1234, None, "REPEALED_BY"), (1, "ley", 7, None, "CITES"), (1, "ley", 8, None, "CITES")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
 def test_two_digit_years_of_citations(spark):
     rows = spark.createDataFrame([(y, f"Ley 500/{y}") for y in (30, 40, 41)], "id int, t string")
     assert {tuple(r)[:1] + (r.year,) for r in text.citations(rows, "id", "t", "ley", VERBS).collect()} == {(30, 2030), (40, 2040), (41, 1941)}
