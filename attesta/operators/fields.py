@@ -60,19 +60,20 @@ def pattern(phrases: tuple[str, ...]) -> str:
     # most places end at the first letter, which is looked up in a plain set: no flag for case holds there, as it would make the set slow
     first = {c for p in phrases for w in p.split(" ")[0].split("|") for c in w[0].translate(ACCENTED).strip("[]")}
     begin = "".join(sorted(first | {c.upper() for c in first}))
-    return rf"(?=[{begin}])(?<!{LETTER})(?iu:" + "|".join(map(phrase, phrases)) + ")"
+    return rf"(?=[{begin}])(?<!{LETTER})(?iu:" + "|".join(map(phrase, phrases)) + ")"  # at the beginning of a text the letter before is none
 
 
 def signals(text: Column, phrases: dict[str, tuple[str, ...]] = SIGNALS) -> Column:
     """array of struct(field, start, signal): for each field, in order, its first signal in a text and where it starts, in characters from 0.
 
-    Accents of vowels and case don't count. Null and empty texts have none. A text is searched once a field, and once more for the place of
-    what was found; both by expressions that compile their pattern once.
+    Accents of vowels and case don't count. Null and empty texts have none. A text is searched once a field, for what is before the signal; the
+    signal is what follows, or the text's beginning, if there is one. Both expressions compile their pattern once.
     """
     found = []
     for field, told in phrases.items():
         sought = pattern(told)
-        signal, before = F.regexp_extract(text, sought, 0), F.regexp_extract(text, f"(?s)^(.*?){sought}", 1)
+        before = F.regexp_extract(text, f"(?s)^(.*?){sought}", 1)
+        signal = F.regexp_extract(F.substring(text, F.char_length(before) + 1, F.char_length(text)), f"^{sought}", 0)
         found.append(F.when(signal != "", F.struct(F.lit(field).alias("field"), F.char_length(before).alias("start"), signal.alias("signal"))))
     return F.array_compact(F.array(*found))
 
@@ -80,7 +81,10 @@ def signals(text: Column, phrases: dict[str, tuple[str, ...]] = SIGNALS) -> Colu
 def candidates(units: DataFrame, phrases: dict[str, tuple[str, ...]] = SIGNALS) -> DataFrame:
     """version_id, unit_id, field, signal, start, fragment, fragment_sha256 of units (version_id, unit_id, role, text) that enact: a row for
     each field that a unit seems to speak of. Units that quote or substitute speak for another act."""
-    found = units.filter("role = 'ENACTING'").select("version_id", "unit_id", "text", F.inline(signals(F.col("text"), phrases)))
+    # signals are a column before they become rows, and these by an outer generator: else Spark reads a text once for each use of what it
+    # finds, and again for a filter that it infers
+    read = units.filter("role = 'ENACTING'").select("version_id", "unit_id", "text", signals(F.col("text"), phrases).alias("found"))
+    found = read.select("version_id", "unit_id", "text", F.inline_outer("found")).filter("field is not null")
     begins = F.greatest(F.col("start") - BEFORE, F.lit(0))
     quoted = F.substring("text", begins + 1, F.col("start") + F.char_length("signal") + AFTER - begins)
     ends = f"^{BLANKS}+|{BLANKS}+$"

@@ -48,6 +48,12 @@ def test_candidates_quote_what_is_around_and_skip_other_acts(spark):
     assert got[0].fragment == "é" * 59 + " excepto " + "b" * 199
 
 
+def test_units_are_searched_where_their_signals_are_made_and_nowhere_else(spark):
+    units = spark.createDataFrame([(1, 1, "ENACTING", "salvo")], "version_id int, unit_id int, role string, text string")
+    plan = C.candidates(units)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "salvo" in line and "Project" not in line]
+
+
 def test_states_of_fields(spark):
     versions = spark.createDataFrame([(1,), (2,), (3,)], "version_id int")
     claims = [(1, "terms", "APPROVED", True), (1, "terms", "CANDIDATE", True), (1, "keep", "CANDIDATE", True), (1, "keep", "CANDIDATE", True), (2, "terms", "APPROVED", False), (2, "keep", "PUBLISHED", None), (2, "other", "APPROVED", True), (9, "keep", "APPROVED", True), (2, None, None, None)]
