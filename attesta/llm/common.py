@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 STEP_BYTES = 1 << 20
 #: Bytes of one batch that goes to a Python worker.
 BATCH_BYTES = 4 << 20
+#: Bits of a map of ids, and of one row of it, which is what bitmap_construct_agg makes.
+MAP_BITS, MAP_ROW = 1 << 25, 1 << 15
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,6 +87,20 @@ def placed(df: DataFrame, *order: Column, dealt_by: int | None = None) -> DataFr
     return found.withColumn("place", F.col("start_") + within).drop("at_", "range_", "start_")
 
 
+def maybe_among(key: Column, rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """rows with `name`: false only where `key` isn't among the whole numbers of ids' one column, so that few rows have to move for a join.
+
+    Hashes of ids set bits of a map of MAP_BITS bits at most, which is broadcast; each other id is taken for one of them with a chance
+    of (ids / MAP_BITS) at most. Null keys are among none.
+    """
+    place = lambda x: F.pmod(F.xxhash64(x.cast("long")), F.lit(MAP_BITS)).cast("int")
+    bits = ids.select(place(F.col(ids.columns[0])).alias("at_")).groupBy(F.expr(f"at_ div {MAP_ROW}").alias("row_")).agg(F.expr(f"bitmap_construct_agg(at_ % {MAP_ROW})").alias("bits_"))
+    spread = rows.withColumn("at_", F.when(key.isNotNull(), place(key))).withColumn("row_", F.expr(f"at_ div {MAP_ROW}"))
+    byte = F.expr(f"cast(conv(hex(substring(bits_, at_ % {MAP_ROW} div 8 + 1, 1)), 16, 10) as int)")
+    held = F.getbit(byte, F.col("at_") % 8) == 1
+    return spread.join(F.broadcast(bits), "row_", "left").withColumn(name, F.coalesce(held, F.lit(False))).drop("row_", "at_", "bits_")
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of a column's decimal text, modulo."""
     return F.crc32(F.col(column).cast("string")) % modulus

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import LOWER, durable, mix, packed, slices, word_bounds, word_hashes
+from attesta.llm.common import LOWER, durable, maybe_among, mix, packed, slices, word_bounds, word_hashes
 from attesta.llm.components import components
 
 SLOTS = 128
@@ -151,8 +151,8 @@ def unpacked(sigs: pa.Array) -> np.ndarray:
 
 
 def index_keys(reps: DataFrame, errors: int) -> DataFrame:
-    """key, rep: one row for each chunk variant of each class. As a class becomes over a hundred rows, which are counted by key before they
-    move, classes are dealt to as many tasks as there are shuffle partitions, so that a task counts few."""
+    """key, rep: one row for each chunk variant of each class. As a class becomes over a hundred rows, classes are dealt to as many tasks as
+    there are shuffle partitions, so that a task makes few."""
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,6 +166,28 @@ def index_keys(reps: DataFrame, errors: int) -> DataFrame:
     return reps.select("rep", "sig").repartition(parts, "rep").mapInArrow(run, "key long, rep long")
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows (key, rep) whose key another row has too. Most keys are one class's only; rows are dealt and sorted by key once, and those
+    that are like neither neighbour go as they stream by, so a key of any number of rows takes no memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rep, told = np.zeros(0, np.int64), np.zeros(0, np.int64), True  # the last row, and whether it is out already
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, rep = (np.concatenate([a, batch.column(c).to_numpy()]) for a, c in ((key, "key"), (rep, "rep")))
+            same = key[1:] == key[:-1]
+            keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            last = bool(keep[-1])
+            if told and len(key) > batch.num_rows:
+                keep[0] = False
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(rep[keep])], names=["key", "rep"])
+            key, rep, told = key[-1:], rep[-1:], last
+
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, rep long")
+
+
 def planes(sigs: np.ndarray) -> np.ndarray:
     """The lowest PLANES bits of each slot as bit planes: signature by plane and word."""
     bits = [np.packbits((sigs >> np.uint16(k)).astype(np.uint8) & 1, axis=1) for k in range(PLANES)]
@@ -374,8 +396,8 @@ def exact_links(tiles: DataFrame, names: list[str], percent: int) -> DataFrame:
 def candidate_families(reps: DataFrame, percent: int) -> DataFrame:
     """rep, family: the components of all pairs of classes whose signatures differ in error_bound() slots at most."""
     errors = error_bound(percent)
-    keys, low = index_keys(reps, errors), low_bits(reps)
-    groups = durable(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("least"), F.max("rep").alias("most")).filter("c > 1"))
+    keys, low = durable(shared_keys(index_keys(reps, errors))), low_bits(reps)
+    groups = durable(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("least"), F.max("rep").alias("most")))
     pairs = groups.filter("c = 2 and least < most").select(F.col("least").alias("a"), F.col("most").alias("b")).distinct()
     crowds = groups.filter("c > 2").select("key", "least", "c", F.ceil(F.col("c") / CROWD).alias("blocks"))
     members = keys.join(crowds, "key")
@@ -397,7 +419,8 @@ def linked_classes(families: DataFrame, reps: DataFrame, docs: DataFrame, width:
     sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_HASHES)).alias("blocks"))
     members = durable(members.join(sizes, "family"))
     ids = members.select(F.col("rep").alias(key)).distinct()
-    sets = full_sets(docs.join(ids, key, "left_semi"), width, text, key)
+    few = maybe_among(F.col(key), docs, ids, "maybe_").filter("maybe_").drop("maybe_")  # the other texts stay where they are
+    sets = full_sets(few.join(ids, key, "left_semi"), width, text, key)
     tiles = in_blocks(members, "family", "blocks", "family").join(sets, ["rep", "set_key"]).withColumn("label", F.xxhash64("set_key"))
     found = components(exact_links(tiles.select("family", "block", "rep", "label", "members"), ["family", "block"], percent))
     if (members.agg(F.max("blocks")).first()[0] or 0) > 1:

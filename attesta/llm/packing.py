@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import packed
+from attesta.llm.common import durable, maybe_among, packed
 from attesta.llm.minhash import near_duplicates
 
 #: Tokens (bytes of text) that a bin holds, pieces of one source that a bin holds at most, and the token that closes a text.
@@ -160,8 +160,12 @@ def unpack(bins: DataFrame) -> DataFrame:
 def with_clusters(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with near_duplicate: the component of near duplicates, of two or more documents, that a document is in, or null.
 
-    Rows with a null id have none. The members of a component are those that aren't kept, and the one that is."""
+    Rows with a null id have none. The members of a component are those that aren't kept, and the one that is. They are written once, and
+    only texts that may be theirs move to be joined with them."""
     others = near_duplicates(docs, text, key).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("of_"), F.col("component_id").alias("near_duplicate"))
     roots = others.select(F.col("near_duplicate").alias("of_"), "near_duplicate")
-    some = others.unionByName(roots).distinct()
-    return docs.join(some, F.col(key).cast("long") == F.col("of_"), "left").drop("of_")
+    some = durable(others.unionByName(roots).distinct())
+    told = maybe_among(F.col(key), docs, some.select("of_"), "maybe_")
+    few, rest = told.filter("maybe_").drop("maybe_"), told.filter("not maybe_").drop("maybe_")
+    own = few.join(some, F.col(key).cast("long") == F.col("of_"), "left").drop("of_")
+    return own.unionByName(rest.withColumn("near_duplicate", F.lit(None).cast("long")))

@@ -168,3 +168,27 @@ def test_repeats_of_any_span(spark, span):
     found = suffix.remove_repeats(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), span=span).collect()
     want = brute.repeats(rows, span)
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == {k: v[:4] for k, v in want.items()}
+
+
+def test_only_shared_keys_and_texts_that_may_be_met_move(spark):
+    from pyspark.sql import functions as F
+
+    from attesta.llm.common import maybe_among
+    from attesta.llm.packing import with_clusters
+
+    held = {"k": [1, 2, 2, 3] + [4] * 25_000 + [5, 6, 6]}  # a key over several batches
+    keys = spark.createDataFrame([(k, i) for i, k in enumerate(held["k"])], "key long, rep long")
+    found = sorted(tuple(r) for r in minhash.shared_keys(keys).collect())
+    assert found == [(k, i) for i, k in enumerate(held["k"]) if k in (2, 4, 6)]
+    assert minhash.shared_keys(keys.limit(0)).collect() == []
+    rows = spark.range(-5000, 5000).selectExpr("nullif(id, 7) id")
+    ids = spark.createDataFrame([(k,) for k in (-5000, -3, 0, 11, 4999, None)], "k long")
+    maybe = [r["id"] for r in maybe_among(F.col("id"), rows, ids, "maybe").filter("maybe").collect()]
+    assert {-5000, -3, 0, 11, 4999} <= set(maybe) and len(maybe) < 60 and None not in maybe
+    assert maybe_among(F.col("id"), rows, ids.limit(0), "maybe").filter("maybe").count() == 0
+    same = "one two three four five six seven " * 3
+    docs = spark.createDataFrame([(1, same, "a"), (2, same + "x", "a"), (3, "other words of another text here", "b"), (None, same, "b"), (2, "id of two again, other words here", "c")], "doc_id long, text string, source string")
+    table = with_clusters(docs)
+    assert sorted((tuple(r) for r in table.select("doc_id", "source", "near_duplicate").collect()), key=str) == sorted([(1, "a", 1), (2, "a", 1), (3, "b", None), (None, "b", None), (2, "c", 1)], key=str)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1 and plan.count("LeftOuter") == 3  # the map twice, the clusters on one side only
