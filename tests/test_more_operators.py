@@ -51,6 +51,20 @@ def test_similarity_is_that_of_the_definition(spark):
     assert similarity.similarity(long, long) == 1.0
 
 
+def test_many_texts_are_compared_in_one_step(monkeypatch):
+    rng = random.Random(12)
+    text = lambda k, n: " ".join(rng.choice("abcdefghij"[:k]) for _ in range(rng.randint(0, n)))
+    pairs = [(text(k, 30), text(k, 30)) for k in (1, 2, 5, 10) for _ in range(60)] + [(None, "a"), ("", ""), ("a", "")]
+    want = [None if a is None else 2 * plain_matched(a.split(), b.split()) / len((a + " " + b).split()) if (a + b).split() else 1.0 for a, b in pairs]
+    for words, meetings in ((40, 60), (12, 5), (1 << 18, 100)):  # some pairs are too large for a step and taken apart first
+        monkeypatch.setattr(similarity, "WORDS", words)
+        monkeypatch.setattr(similarity, "MEETINGS", meetings)
+        assert similarity.similarities(*zip(*pairs, strict=True)) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(similarity, "longest_run", None)  # texts of common size need no search row by row
+    assert similarity.similarities(*zip(*pairs, strict=True)) == want
+
+
 def brute_cyclic(edges):
     """What is left when nodes without a way on or a way in are taken off."""
     left = set(edges)
