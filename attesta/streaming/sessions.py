@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,8 +16,9 @@ IDLE, LIFE = 30 * 60_000, 2 * 3_600_000
 CONFIRM, REFUSE, FORGET, CONTEXT, TOUCH = "CONFIRM", "REFUSE", "FORGET", "CONTEXT", "TOUCH"
 ORIGINS = ("declared", "inferred")
 CONTEXT_KEYS = ("intention", "jurisdiction", "date")
-EVENT = "at_us long, event_id long, kind string, key string, value string, origin string"
+EVENT = ("at_us", "event_id", "kind", "key", "value", "origin")
 CLOSED = "session string, opened timestamp, ended timestamp, why string, version int, facts string, context string, n_events int, n_rejected int"
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -64,46 +65,43 @@ class Session:
     def row(self, key: str, idle: int, life: int) -> tuple:
         end = self.ends(idle, life)
         why = "LIFETIME" if end == self.opened + life and end != self.active + idle else "IDLE"
-        stamp = lambda ms: pd.Timestamp(ms, unit="ms")
+        stamp = lambda ms: EPOCH + dt.timedelta(milliseconds=ms)
         return (key, stamp(self.opened), stamp(end), why, self.version, json.dumps(self.facts, sort_keys=True), json.dumps(self.context, sort_keys=True), self.events, self.rejected)
 
 
 class Sessions(StatefulProcessor):
     """A key's events wait until the watermark has passed them and are then taken in order of time, so neither batches nor late arrival
-    within the watermark change what comes out. A timer fires when the next event or the session's end is due."""
+    within the watermark change what comes out. A key's events of a batch are one row of its state, and rows don't pass pandas, which costs
+    more a key than its events do. A timer fires when the next event or the session's end is due."""
 
     def __init__(self, idle: int, life: int):
         self.idle, self.life = idle, life
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", EVENT)
+        self.waiting = handle.getListState("waiting", "events string")  # the events of each batch as one text
         self.open = handle.getValueState("open", "state string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        names, due = [c.split()[0] for c in EVENT.split(", ")], None
-        for batch in rows:
-            text = batch[names].astype(object).where(batch[names].notna(), None)
-            found = [(int(r[0]), int(r[1]), *r[2:]) for r in text.itertuples(index=False)]
-            if found:
-                self.waiting.appendList(found)
-                first = min(r[0] for r in found) // 1000
-                due = first if due is None else min(due, first)
-        if due is not None:
-            self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        found = [r[2:] for r in rows]
+        if found:
+            self.waiting.appendList([(f"[{','.join([event for _, event in found])}]",)])
+            first = min(at for at, _ in found) // 1000
+            self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        rows = [tuple(map(r.get, EVENT)) for (part,) in self.waiting.get() for r in json.loads(part)]
         due = sorted((r for r in rows if r[0] // 1000 <= now), key=lambda r: tuple((x is not None, x) for x in r))
         later = [r for r in rows if r[0] // 1000 > now]
         if due:
-            self.waiting.put(later) if later else self.waiting.clear()
+            self.waiting.put([(json.dumps([dict(zip(EVENT, r, strict=True)) for r in later]),)]) if later else self.waiting.clear()
         session, closed = None, []
-        if self.open.exists():
+        before = self.open.get()
+        if before is not None:
             session = Session(0)
-            session.__dict__.update(json.loads(self.open.get()[0]))
+            session.__dict__.update(json.loads(before[0]))
         for at_us, _, *event in due:
             at = at_us // 1000
             if session and at >= session.ends(self.idle, self.life):
@@ -117,12 +115,12 @@ class Sessions(StatefulProcessor):
         wake = [r[0] // 1000 for r in later] + ([session.ends(self.idle, self.life)] if session else [])
         if session:
             self.open.update((json.dumps(session.__dict__),))
-        else:
+        elif before is not None:
             self.open.clear()
         if wake:
             self.handle.registerTimer(max(min(wake), now + 1))
-        if closed:
-            yield pd.DataFrame(closed, columns=[c.split()[0] for c in CLOSED.split(", ")])
+        names = [c.split()[0] for c in CLOSED.split(", ")]
+        return iter([Row(**dict(zip(names, x, strict=True))) for x in closed])
 
     def close(self) -> None:
         pass
@@ -138,7 +136,8 @@ def closed_sessions(events: DataFrame, late: str, idle: int = IDLE, life: int =
     """
     named = events.filter("session is not null and ts is not null").withWatermark("ts", late)
     rows = named.select(F.col("session").cast("string").alias("session"), "ts", F.unix_micros("ts").alias("at_us"), F.coalesce("event_id", F.lit(0)).cast("long").alias("event_id"), "kind", "key", "value", "origin")
-    return rows.groupBy("session").transformWithStateInPandas(Sessions(idle, life), CLOSED, "append", "EventTime")
+    rows = rows.select("session", "ts", "at_us", F.to_json(F.struct(*EVENT)).alias("event"))  # fewer columns to turn into objects
+    return rows.groupBy("session").transformWithState(Sessions(idle, life), CLOSED, "append", "EventTime")
 
 
 @contextmanager

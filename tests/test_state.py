@@ -125,3 +125,56 @@ def test_rounds_of_monitoring(spark, tmp_path):
     assert C.cycle(store, captures, now) == dict.fromkeys(C.STEPS, 0) | {"BLOCKED": 0} and store.version() == 2
     later = C.cycle(store, captures, now + 5 * day)  # the same captures again
     assert (later["PLANNED"], later["VERSIONS"], later["EVENTS"]) == (3, 0, 0)
+
+
+def test_a_batch_of_a_session_is_one_row_of_its_state():
+    class Part:
+        def __init__(self):
+            self.held, self.calls = [], 0
+
+        def appendList(self, rows):  # noqa: N802
+            self.held, self.calls = self.held + list(rows), self.calls + 1
+
+        def put(self, rows):
+            self.held = list(rows)
+
+        def get(self):
+            return iter(self.held)
+
+        def clear(self):
+            self.held = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, x):
+            self.held = x
+
+        def clear(self):
+            self.held = None
+
+    class Times:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.now
+
+        def registerTimer(self, at):  # noqa: N802
+            self.at = at
+
+    s, times = sessions.Sessions(10, 1000), Times()
+    s.handle, s.waiting, s.open = times, Part(), Value()
+    event = lambda ms, n, value: ("a", None, ms * 1000, json.dumps({"at_us": ms * 1000, "event_id": n, "kind": "CONFIRM", "key": "k", "value": value, "origin": "declared"}))
+    assert list(s.handleInputRows(("a",), iter([event(7, 2, "y"), event(5, 1, "x"), event(40, 3, "é\n")]), times)) == []
+    assert (s.waiting.calls, len(s.waiting.held), times.at) == (1, 1, 5)
+    times.now = 20
+    (row,) = s.handleExpiredTimer(("a",), times, None)
+    assert (row.why, row.version, row.n_events, json.loads(row.facts), times.at) == ("IDLE", 2, 2, {"k": ["y", "declared"]}, 40)
+    times.now = 45
+    assert list(s.handleExpiredTimer(("a",), times, None)) == [] and s.waiting.held == [] and times.at == 50
+    times.now = 50
+    (row,) = s.handleExpiredTimer(("a",), times, None)
+    assert json.loads(row.facts) == {"k": ["é\n", "declared"]} and s.open.held is None
