@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +29,18 @@ HEAD = 80
 ENACTING, QUOTED, SUBSTITUTED, NOTE = "ENACTING", "QUOTED", "SUBSTITUTED", "NOTE"
 
 
+#: Heads of paragraphs, and short texts of articles, whose reading a task remembers: most marks, and many formulas, come again.
+REMEMBERED = 1 << 14
+SHORT = 200
+ORDINALS = {ord(c): " " for c in "°ºª"}
+
+
 def folded(text: str) -> str:
     """Lower case without marks; signs of ordinals are blanks."""
-    bare = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    return bare.translate({ord(c): " " for c in "°ºª"}).lower()
+    if text.isascii():
+        return text.lower()
+    bare = "".join([c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)])
+    return bare.translate(ORDINALS).lower()
 
 
 def is_number(word: str) -> bool:
@@ -40,7 +49,12 @@ def is_number(word: str) -> bool:
 
 def marker(text: str) -> tuple[str, str | None, str | None]:
     """Kind, number and suffix that the beginning of a paragraph marks; the kind is empty if it marks none."""
-    head = folded(text[:HEAD]).lstrip()
+    return head_marker(text[:HEAD])
+
+
+@lru_cache(REMEMBERED)
+def head_marker(text: str) -> tuple[str, str | None, str | None]:
+    head = folded(text).lstrip()
     words = WORD.findall(head)
     if words[:1] == ["("]:
         return ("EDITORIAL", None, None) if words[1:3] == ["nota", "infoleg"] else ("", None, None)
@@ -48,7 +62,8 @@ def marker(text: str) -> tuple[str, str | None, str | None]:
     if first == "nota" and rest[:1] == ["infoleg"]:
         return "EDITORIAL", None, None
     if first in CONTAINERS and first != "anexo" and rest and is_number(rest[0]):
-        return CONTAINERS[first][0], text.split()[1][: len(rest[0])], None
+        said = text.split(None, 2)[1:2] or rest
+        return CONTAINERS[first][0], said[0][: len(rest[0])], None
     if first == "anexo" or (first.startswith("anexo") and is_number(first[5:])):
         number = first[5:] or (rest[0] if rest and is_number(rest[0]) else "")
         return "ANNEX", number.upper() or None, None
@@ -73,6 +88,10 @@ def marker(text: str) -> tuple[str, str | None, str | None]:
 
 def tells_of(text: str) -> tuple[bool, frozenset[int]]:
     """Whether an article says that it gives another text, and the numbers of the articles that it names."""
+    return short_tells(text) if len(text) <= SHORT else read_tells(text)
+
+
+def read_tells(text: str) -> tuple[bool, frozenset[int]]:
     words = WORD.findall(folded(text))
     gives = any(w in REPLACING or (w in REWORDING and words[i + 1 : i + 2] and words[i + 1].startswith(REWORDED)) for i, w in enumerate(words))
     named, listing = set(), False
@@ -86,6 +105,9 @@ def tells_of(text: str) -> tuple[bool, frozenset[int]]:
     return gives, frozenset(named)
 
 
+short_tells = lru_cache(REMEMBERED)(read_tells)
+
+
 class Act:
     """One act read paragraph by paragraph. What is held is what is open: containers, the article, and the numbers reached; so an act may be
     of any length."""
@@ -155,6 +177,8 @@ class Act:
 
 LEVELS = {kind: level for kind, level in CONTAINERS.values()}
 UNIT = "n int, kind string, role string, number string, parent int, route string, doubt string"
+UNITS = [tuple(c.split()) for c in UNIT.split(", ")]
+INT, STRING = pa.int32(), pa.string()
 
 
 def segmented(paragraphs: DataFrame, key: str, place: str = "place", text: str = "text", quoted: str = "quoted") -> DataFrame:
@@ -168,19 +192,19 @@ def segmented(paragraphs: DataFrame, key: str, place: str = "place", text: str =
     rows = paragraphs.filter(F.trim(F.regexp_replace(text, r"\s", " ")) != "")
     ordered = rows.repartition(F.col(key)).sortWithinPartitions(key, place, text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         act, open_key = Act(), object()
         for batch in batches:
             found = []
-            for k, t, q in zip(batch[key], batch[text], batch[quoted], strict=True):
-                if k != open_key and not (pd.isna(k) and open_key is None):
-                    act, open_key = Act(), None if pd.isna(k) else k
-                found.append(act.add(t.strip(), q is True or q == True))  # noqa: E712
-            units = pd.DataFrame(found, columns=[c.split()[0] for c in UNIT.split(", ")], index=batch.index).astype(object)
-            yield pd.concat([batch, units.where(units.notna(), None)], axis=1)
+            for k, t, q in zip(*(batch.column(c).to_pylist() for c in (key, text, quoted)), strict=True):
+                if k != open_key:
+                    act, open_key = Act(), k
+                found.append(act.add(t.strip(), q is True))
+            units = [pa.array([u[n] for u in found], INT if kind == "int" else STRING) for n, kind in UNITS]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *units], names=[*batch.schema.names, *(n for n, _ in UNITS)])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in paragraphs.schema.fields)
-    return ordered.mapInPandas(run, f"{kept}, {UNIT}")
+    return ordered.mapInArrow(run, f"{kept}, {UNIT}")
 
 
 def remissions(units: DataFrame, doc: str, unit: str, order: str, text: str) -> DataFrame:

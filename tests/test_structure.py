@@ -82,3 +82,14 @@ def test_a_sentence_over_two_units_belongs_to_the_first(spark):
     left = S.pending_annexes(found, settled, "doc")
     assert {(r.doc, r.unit) for r in left.collect()} == {(1, 10), (2, 20)}
     assert {tuple(r) for r in S.blocked_fields(left, "doc").collect()} == {(d, f, i) for d, i in ((1, "IF-2025-53544032-GCABA-SSGDA"), (2, "")) for f in S.ANNEX_FIELDS}
+
+
+def test_heads_and_formulas_that_come_again_are_read_once():
+    S.head_marker.cache_clear()
+    S.short_tells.cache_clear()
+    said = "Artículo 1.- Sustitúyese el artículo 10 de la Ley 5"
+    assert [S.Act().add(said, False)["route"] for _ in range(3)] == ["article-1"] * 3
+    assert (S.head_marker.cache_info().misses, S.short_tells.cache_info().misses) == (1, 1)
+    long = "Artículo 2.- Modifícase" + " x" * S.SHORT
+    assert S.tells_of(long) == (True, frozenset({2})) and S.short_tells.cache_info().misses == 1  # long texts aren't kept
+    assert S.marker("Título IV" + " de" * 50) == ("TITLE", "IV", None)
