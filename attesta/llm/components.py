@@ -68,28 +68,31 @@ def forests(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "a long, b long")
 
 
-def settled(edges: DataFrame) -> bool:
-    """Whether edges (a, b) are stars already: each a has one b, which is no a itself."""
+def unsettled(edges: DataFrame) -> tuple[int, int]:
+    """How many edges (a, b) there are, and how many nodes keep them from being stars: each a should have one b, which is no a itself."""
     seen = edges.select(F.col("a").alias("node"), F.lit(1).alias("leaf")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("leaf")))
     each = seen.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("root"))
-    return each.filter("leaf > 1 or leaf = 1 and root = 0").isEmpty()
+    n, apart = each.agg(F.sum("leaf"), F.sum(F.expr("leaf > 1 or leaf = 1 and root = 0").cast("long"))).first()
+    return n or 0, apart or 0
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) for every node of edges (a, b). No edges: no rows.
 
     Self-loops and repeated edges don't matter; nulls are dropped. Each task first makes stars of what its own edges connect.
-    Each round is written to the shared folder, the one before it is deleted there, and the rounds end when all edges are
-    stars; a graph that needs more than `most_rounds` raises an error rather than give wrong components.
+    Each half of a round is written to the shared folder, the one before it is deleted there, and the rounds end when all edges are
+    stars; a graph that needs more than `most_rounds` raises an error rather than give wrong components. A star reads its edges in
+    several places, so on one that isn't written all of them would plan and run the other star again.
     """
     edges = durable(forests(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     for _ in range(most_rounds):
-        if settled(edges):
+        n, apart = unsettled(edges)
+        if not apart:
             break
-        hub_from = max(HUB, edges.count() // HUBS)
-        after = durable(forests(star(star(edges, True, hub_from), False, hub_from)))
-        discard(edges)
-        edges = after
+        for large in (True, False):
+            after = durable(forests(star(edges, large, max(HUB, n // HUBS))))
+            discard(edges)
+            edges = after
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

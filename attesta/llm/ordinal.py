@@ -60,7 +60,14 @@ def train(rows: list[tuple[bytes, int]], seed: int = 5) -> OrdinalModel | None:
         return None
     rng = np.random.default_rng(seed)
     truth = np.searchsorted(grades, [y for _, y in rows])
-    features = [hashed.counted(t, SIZES, BITS) for t, _ in rows]
+    # all texts' features in two arrays, which go back to the system as a whole; only what is written of them takes memory
+    most = len(SIZES) * sum(len(t) for t, _ in rows)
+    all_buckets, all_shares, cut = np.empty(most, np.int32), np.empty(most, np.float32), np.zeros(len(rows) + 1, np.int64)
+    for i, (t, _) in enumerate(rows):
+        found, part = hashed.counted(t, SIZES, BITS)
+        cut[i + 1] = cut[i] + len(found)
+        all_buckets[cut[i] : cut[i + 1]], all_shares[cut[i] : cut[i + 1]] = found, part
+        del found, part
     style = [style_tokens(t) for t, _ in rows]
     levels = len(grades) - 1
     weight, square = np.zeros(1 << BITS, np.float32), np.full(1 << BITS, 1e-8, np.float32)
@@ -73,9 +80,8 @@ def train(rows: list[tuple[bytes, int]], seed: int = 5) -> OrdinalModel | None:
     gaps[1:] = np.log(np.maximum(0.1, np.diff(start)))
     for _ in range(EPOCHS):
         for some in hashed.batches(rows, BATCH, rng):
-            cuts = np.cumsum([0] + [len(features[i][0]) for i in some])
-            buckets = np.concatenate([features[i][0] for i in some])
-            share = np.concatenate([features[i][1] for i in some])
+            cuts = np.cumsum(np.r_[0, np.diff(cut)[some]])
+            buckets, share = (np.concatenate([x[cut[i] : cut[i + 1]] for i in some]) for x in (all_buckets, all_shares))
             f = np.add.reduceat(weight[buckets] * share, cuts[:-1]) if len(buckets) else np.zeros(len(some))
             f = f + np.array([extra[style[i]].sum() for i in some])
             theta = np.cumsum(np.r_[gaps[0], np.exp(gaps[1:])])

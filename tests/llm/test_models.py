@@ -1,6 +1,8 @@
 """Models' scores against their definitions on small texts, samples, components, hot keys and long spans."""
 
+import importlib
 import random
+import weakref
 
 import numpy as np
 import pytest
@@ -132,6 +134,27 @@ def test_components_with_hubs(spark, monkeypatch):
     assert found == {n: find(n) for a, b in edges if a != b for n in (a, b)}
 
 
+def test_a_step_of_components_plans_one_star(spark, monkeypatch):
+    """A round's second star reads what the first one wrote: a plan that holds both has each of them several times."""
+    module = importlib.import_module("attesta.llm.components")
+    seen, written = [], module.durable
+    monkeypatch.setattr(module, "durable", lambda df: seen.append(str(df._jdf.queryExecution().executedPlan()).count("Exchange hash")) or written(df))
+    rows = [(i, i + 1) for i in range(60)] + [(900 - i, 899 - i) for i in range(40)]
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(rows, "a long, b long").repartition(8)).collect()}
+    assert found == {i: 0 for i in range(61)} | {i: 860 for i in range(860, 901)}
+    assert len(seen) > 2 and max(seen) <= 5
+
+
+def test_training_keeps_no_text_s_features_apart(monkeypatch):
+    """4500 small arrays leave the driver's memory in pieces; two large ones go back as a whole."""
+    alive, counted = weakref.WeakValueDictionary(), hashed.counted
+    monkeypatch.setattr(hashed, "counted", lambda *a: [alive.setdefault((len(alive), id(x)), x) for x in counted(*a)])
+    batches, most = hashed.batches, []
+    monkeypatch.setattr(hashed, "batches", lambda *a: most.append(len(alive)) or batches(*a))
+    assert ordinal.train([((t or "").encode(), i % 3) for i, t in TEXTS.items()])
+    assert max(most) == 0
+
+
 def test_hot_keys_and_families_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CROWD", 8)
     monkeypatch.setattr(minhash, "TILE", 8)
