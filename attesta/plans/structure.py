@@ -9,10 +9,19 @@ from attesta.plans.registry import query
 from attesta.sources.tables import table
 
 
+#: Line items that a task gets, about.
+TASK_ROWS = 1 << 19
+
+
 def lines(spark, sf_dir):
-    """One row for each number of an order: l_orderkey, place, p, s."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("place"))
-    return li.agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    """One row for each number of an order: l_orderkey, place, p, s.
+
+    Whole orders are dealt to as many tasks as the count of line items calls for, and are summed up and, by what follows, put together
+    there: tasks by the bytes that are shuffled would grow, as these texts and numbers shrink to a fraction in a shuffle, and so would
+    sums by key that begin before it, with the size of a file's part."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("place"), "l_partkey", "l_suppkey")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-li.count() // TASK_ROWS))
+    return li.repartition(parts, "l_orderkey").groupBy("l_orderkey", "place").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
 
 
 LINES_SQL = "li AS (SELECT l_orderkey, l_linenumber AS place, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL)"

@@ -1,8 +1,12 @@
 """Roles of articles, routes, and references to annexes on fixtures."""
 
+import re
+
 import pytest
 
 from attesta.operators import structure as S
+from attesta.plans import registry
+from attesta.plans import structure as plans
 
 KINDS = "act long, place int, text string, quoted boolean"
 
@@ -93,3 +97,15 @@ def test_heads_and_formulas_that_come_again_are_read_once():
     long = "Artículo 2.- Modifícase" + " x" * S.SHORT
     assert S.tells_of(long) == (True, frozenset({2})) and S.short_tells.cache_info().misses == 1  # long texts aren't kept
     assert S.marker("Título IV" + " de" * 50) == ("TITLE", "IV", None)
+
+
+@pytest.mark.parametrize("name", ["annex_remissions", "article_roles"])
+def test_orders_are_dealt_by_their_count(spark, small, monkeypatch, name):
+    """The tasks that put orders together get about TASK_ROWS line items each, however little these take in a shuffle."""
+    monkeypatch.setattr(plans, "TASK_ROWS", 500, raising=False)
+    rows = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    plan = str(registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan())
+    dealt = re.findall(r"Exchange hashpartitioning\(l_orderkey#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert set(dealt) == {str(-(-rows // 500))} and rows > 5000
+    summed = [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if "place" in x or "l_linenumber" in x]
+    assert not summed
