@@ -46,6 +46,15 @@ def counted(text: bytes, sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray,
     return buckets, (n / max(1, n.sum())).astype(np.float32)
 
 
+def text_sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The sum of each text's values, which end where the next text's begin; 0 for a text without n-grams, wherever it stands."""
+    total = np.zeros(len(cuts) - 1, values.dtype)
+    some = np.flatnonzero(np.diff(cuts))
+    if len(some):
+        total[some] = np.add.reduceat(values, cuts[some])
+    return total
+
+
 def batches(rows: list, size: int, rng: np.random.Generator):
     order = rng.permutation(len(rows))
     for i in range(0, len(order), size):

@@ -82,7 +82,7 @@ def train(rows: list[tuple[bytes, int]], seed: int = 5) -> OrdinalModel | None:
         for some in hashed.batches(rows, BATCH, rng):
             cuts = np.cumsum(np.r_[0, np.diff(cut)[some]])
             buckets, share = (np.concatenate([x[cut[i] : cut[i + 1]] for i in some]) for x in (all_buckets, all_shares))
-            f = np.add.reduceat(weight[buckets] * share, cuts[:-1]) if len(buckets) else np.zeros(len(some))
+            f = hashed.text_sums(weight[buckets] * share, cuts)
             f = f + np.array([extra[style[i]].sum() for i in some])
             theta = np.cumsum(np.r_[gaps[0], np.exp(gaps[1:])])
             c = np.c_[np.zeros(len(some)), sigmoid(theta[None, :] - f[:, None]), np.ones(len(some))]

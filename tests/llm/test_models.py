@@ -155,6 +155,26 @@ def test_training_keeps_no_text_s_features_apart(monkeypatch):
     assert max(most) == 0
 
 
+def test_training_takes_texts_without_n_grams(spark, tmp_path):
+    """Texts under three bytes have no n-gram; wherever one stands in a step, also last, its sum is 0 and not the next text's first value."""
+    import corpus_pipeline
+
+    rows = [(i, f"text {i} of a few words", i % 3) for i in range(60)] + [(60 + i, ("", "A.", "é")[i % 3], i % 2) for i in range(30)]
+    for seed in range(8):
+        model = ordinal.train([(t.encode(), y) for _, t, y in rows], seed)
+        assert model.grades == [0, 1, 2] and np.isfinite(model.weights).all() and np.isfinite(model.style).all() and (np.diff(model.thresholds) > 0).all()
+    assert not ordinal.train([(t.encode(), y) for _, t, y in rows[60:]]).weights.any()  # nothing but style is learned of these
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(y > 0), int(y == 1)) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = {r["doc_id"] for r in corpus_pipeline.classifier(spark, docs, str(tmp_path)).collect()}
+    assert ids and ids <= set(range(90))
+    values = [[], [1.0, 2.0], [], [], [4.0], [8.0, 16.0, 32.0], [], []]
+    for rows in (values, values[::-1], values[1:6], [[], []], []):
+        flat = np.array([x for r in rows for x in r], np.float32)
+        assert hashed.text_sums(flat, np.cumsum([0] + [len(r) for r in rows])).tolist() == [sum(r) for r in rows]
+
+
 def test_hot_keys_and_families_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(minhash, "CROWD", 8)
     monkeypatch.setattr(minhash, "TILE", 8)
